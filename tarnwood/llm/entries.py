@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwood.llm import mixing, packing, pii, quality
-from tarnwood.llm.shared import table, written
+from tarnwood.llm import jaccard, mixing, packing, pii, pitman_yor, quality, quotes, urlfilter, vectors, warc
+from tarnwood.llm.oracles import ORACLE_SQL as _ORACLES
+from tarnwood.llm.shared import new_folder, table, written
 
 #: In production the key comes from a secret store; results for one key are stable.
 PII_KEY = "corpus-pseudonyms-1"
@@ -19,6 +20,34 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "archives")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    found = warc.page_records(warc.read_warc(spark, path, payloads=False))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "offset", "length")
+
+
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -38,11 +67,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_warc": op3_warc,
+    "op4_quotation_linking": op4_quotation_linking,
+    "op5_jaccard_join": op5_jaccard_join,
+    "op6_url_filter": op6_url_filter,
     "op7_quality_rules": op7_quality_rules,
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
+    "pipeline": pipeline,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(_ORACLES)

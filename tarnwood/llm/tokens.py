@@ -104,9 +104,13 @@ def slices(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         low = high
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def words_of(column: pa.Array, lower: bool) -> Iterator[tuple[int, int, Words]]:
     for low, high, data, offsets in slices(column):
-        yield low, high, find_words(_LOWER[data] if lower else data, offsets)
+        yield low, high, find_words(lowered(data) if lower else data, offsets)
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
