@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwood.llm.tokens import find_words, slices
+from tarnwood.llm.tokens import Words, find_words, lowered, slices
 
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
-_MOST_CACHED = 400_000
+_MOST_CACHED = 2_000_000
 
 
 class LevelPacker:
@@ -96,35 +96,75 @@ class LevelPacker:
         return out
 
 
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[39] = 0
+_BREAK = " \0 "
+
+
+def find_pieces(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words cut where an ASCII letter, digit or mark (no apostrophe) meets another kind of these.
+
+    The tokenizer's own pattern always cuts there, so ids of pieces make up the ids of the text.
+    """
+    words = find_words(data, offsets)
+    kind = _KIND[data]
+    cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[offsets] = True
+    cut = cut[~edge[cut]]
+    start, end = np.sort(np.concatenate([words.start, cut])), np.sort(np.concatenate([words.end, cut]))
+    return Words(data, offsets, start, end, np.searchsorted(start, offsets))
+
+
 class WordEncoder:
-    """Ids of texts for a tokenizer that never joins across white space; each word is encoded once."""
+    """Ids of texts for a tokenizer that lower-cases and never joins across white space.
+
+    Each piece is encoded once and kept, up to a fixed number of pieces.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.mark = self._ids([_BREAK])[0]
         self._clear()
 
     def _clear(self) -> None:
         self.keys = np.zeros(0, dtype=np.uint64)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
+        self.at = np.zeros(0, dtype=np.int32)
+        self.size = np.zeros(0, dtype=np.int32)
         self.ids = np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, words, keys: np.ndarray, where: np.ndarray) -> None:
-        raw = words.data.tobytes()
-        texts = [raw[words.start[i] : words.end[i]].decode("utf-8", "replace") for i in where]
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.keys) + len(keys) > _MOST_CACHED:
-            self._clear()
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((x for f in found for x in f), np.uint32, int(sizes.sum()))
-        at = np.concatenate([[0], np.cumsum(sizes)])[:-1] + len(self.ids)
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
+
+    def _learn(self, pieces: Words, keys: np.ndarray, where: np.ndarray) -> None:
+        """Encode the pieces at ``where``, many in one text with a mark between them."""
+        raw = pieces.data.tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(pieces.start[where].tolist(), pieces.end[where].tolist())]
+        odd = [k for k, t in enumerate(texts) if "\0" in t]
+        alone = {k: self._ids([texts[k]]) for k in odd}
+        for k in odd:
+            texts[k] = ""
+        marked = self._ids([_BREAK.join([*texts[i : i + 500], ""]) for i in range(0, len(texts), 500)])
+        ends = np.flatnonzero(marked == self.mark)
+        sizes = np.diff(ends, prepend=-1) - 1
+        flat = marked[marked != self.mark]
+        if odd:
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for k in odd:
+                parts[k], sizes[k] = alone[k], len(alone[k])
+            flat = np.concatenate(parts)
+        at = np.cumsum(sizes) - sizes + len(self.ids)
         keys, at, sizes = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, sizes])
         order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order], sizes[order]
-        self.ids = np.concatenate([self.ids, flat])
+        self.keys, self.at, self.size = keys[order], at[order].astype(np.int32), sizes[order].astype(np.int32)
+        self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
 
     def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -134,20 +174,21 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and where each row's ids begin."""
-        words = find_words(data, offsets)
-        keys, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        pieces = find_pieces(lowered(data), offsets)
+        keys, first, back = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
+        if not len(keys):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         _, known = self._place(keys)
         if not known.all():
-            room = _MOST_CACHED - len(self.keys)
-            new = ~known if (~known).sum() <= room else np.ones(len(keys), bool)
-            if new.all():
+            if len(self.keys) + (~known).sum() > _MOST_CACHED:
                 self._clear()
-            self._learn(words, keys[new], first[new])
+                known[:] = False
+            self._learn(pieces, keys[~known], first[~known])
         at, _ = self._place(keys)
-        size, begin = self.size[at][back], self.at[at][back]
+        size, begin = self.size[at][back].astype(np.int64), self.at[at][back]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
-        return flat, np.concatenate([[0], ends])[words.first]
+        return flat, np.concatenate([[0], ends])[pieces.first]
 
 
 @functools.lru_cache(maxsize=2)
