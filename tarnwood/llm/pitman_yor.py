@@ -35,13 +35,13 @@ from tarnwood.llm.tokens import mix, words_of
 _U64 = np.uint64
 _BEGIN = _U64(0xB5AD4ECEDA1CE2A9)
 _FINISH = _U64(0x1F83D9ABFB41BD6B)
-_FLUSH = 3_000_000
+_FLUSH = 4_600_000
 _EXACT = 32
 _GLOBALS = 8  # customers, tables, ones, twos of the parent; tokens, types, ones, twos of the contexts
 
 _PACKED = T.StructType(
     [T.StructField("bucket", T.IntegerType()), T.StructField("flush", T.LongType())]
-    + [T.StructField(n, T.BinaryType()) for n in ("u", "runs", "w_low", "w_high", "n_all", "n_train", "doc", "ids", "held")]
+    + [T.StructField(n, T.BinaryType()) for n in ("u", "runs", "w_low", "w_high", "n_all", "n_held", "doc", "ids", "held")]
 )
 _MAIL = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("target", "origin", "sweep")]
@@ -49,7 +49,7 @@ _MAIL = T.StructType(
 )
 _PARTS = T.StructType(
     [T.StructField("flush", T.LongType())]
-    + [T.StructField(n, T.BinaryType()) for n in ("doc", "base", "score", "known", "ids", "held", "size")]
+    + [T.StructField(n, T.BinaryType()) for n in ("doc", "base", "score", "unknown", "ids", "held", "size")]
     + [T.StructField("train_tokens", T.LongType()), T.StructField("types", T.LongType())]
 )
 SCORES = T.StructType(
@@ -65,6 +65,19 @@ def _frame(schema: T.StructType, rows: list[tuple]) -> pa.Table:
     return pa.table({f.name: pa.array(list(c), kinds[f.dataType]) for f, c in zip(schema.fields, columns)})
 
 
+def small(values: np.ndarray) -> bytes:
+    """Counts as bytes, those of 255 and more behind them: most are one, and bytes compress well."""
+    big = np.flatnonzero(values >= 255)
+    return np.minimum(values, 255).astype(np.uint8).tobytes() + values[big].astype(np.uint32).tobytes() + np.uint32(len(big)).tobytes()
+
+
+def unsmall(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw[-4:], np.uint32)[0])
+    out = np.frombuffer(raw, np.uint8, len(raw) - 4 - 4 * n).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw, np.uint32, n, len(raw) - 4 - 4 * n)
+    return out
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 7 == 2
 
@@ -106,18 +119,21 @@ def pack_occurrences(docs: DataFrame, buckets: int, hot: list[int]) -> DataFrame
         first = np.concatenate([[0], np.cumsum(size)])
         keys, back = np.unique(np.concatenate([*tokens, [_BEGIN, _FINISH]]), return_inverse=True)
         begin, finish = back[-2], back[-1]
-        back = back[:-2]
+        back = back[:-2].astype(np.int32)
         # Occurrence k of a document: contexts are the begin mark and its words, words are its words and the end.
         u = np.insert(back, first[:-1], begin)
         w = np.insert(back, first[1:], finish)
-        doc = np.repeat(np.arange(n_docs), size + 1)
-        bucket = (mix(keys) % _U64(buckets)).astype(np.int64)[u]
-        split = np.isin(keys, hot_keys)[u]
-        bucket[split] = (mix(keys[u[split]] ^ mix(keys[w[split]])) % _U64(buckets)).astype(np.int64)
-        order = np.argsort((bucket.astype(_U64) << _U64(48)) | (u.astype(_U64) << _U64(24)) | w.astype(_U64), kind="stable")
-        bucket, u, w, doc = bucket[order], u[order], w[order], doc[order]
-        train = ~np.array(held, dtype=bool)[doc]
         narrow = np.uint16 if n_docs <= 1 << 16 else np.uint32
+        doc = np.repeat(np.arange(n_docs, dtype=narrow), size + 1)
+        bucket = (mix(keys) % _U64(buckets)).astype(np.int32)[u]
+        split = np.flatnonzero(np.isin(keys, hot_keys)[u])
+        bucket[split] = (mix(keys[u[split]] ^ mix(keys[w[split]])) % _U64(buckets)).astype(np.int32)
+        order = bucket.astype(_U64) << _U64(48)
+        order |= u.astype(_U64) << _U64(24)
+        order |= w.astype(_U64)
+        order = np.argsort(order, kind="stable").astype(np.int32)
+        bucket, u, w, doc = bucket[order], u[order], w[order], doc[order]
+        out = np.array(held, dtype=bool)[doc]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = []
         for b in range(buckets):
@@ -129,13 +145,13 @@ def pack_occurrences(docs: DataFrame, buckets: int, hot: list[int]) -> DataFrame
             new_u = np.append(True, ub[1:] != ub[:-1])[: len(ub)]
             new = new_u | np.append(True, wb[1:] != wb[:-1])[: len(ub)]
             starts = np.flatnonzero(new)
-            n_all = np.diff(np.append(starts, len(ub))).astype(np.uint32)
-            n_train = (np.add.reduceat(train[at].astype(np.int64), starts) if len(starts) else np.zeros(0)).astype(np.uint32)
-            runs = np.diff(np.append(np.flatnonzero(new_u[starts]), len(starts))).astype(np.uint32)
+            n_all = np.diff(np.append(starts, len(ub)))
+            n_held = np.add.reduceat(out[at].astype(np.int64), starts) if len(starts) else n_all
+            runs = np.diff(np.append(np.flatnonzero(new_u[starts]), len(starts)))
             short = keys[wb[starts]] >> _U64(24)
-            cells = (keys[ub[new_u]], runs, (short & _U64(0xFFFFFFFF)).astype(np.uint32), (short >> _U64(32)).astype(np.uint8), n_all, n_train, doc[at].astype(narrow))
+            cells = (keys[ub[new_u]].tobytes(), small(runs), (short & _U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (short >> _U64(32)).astype(np.uint8).tobytes(), small(n_all), small(n_held), doc[at].tobytes())
             extra = (pa.array(ids, pa.int64()).fill_null(0).to_numpy().tobytes(), np.array([2 * (i is None) + h for i, h in zip(ids, held)], np.uint8).tobytes()) if mine else (None, None)
-            rows.append((b, number, *(c.tobytes() for c in cells), *extra))
+            rows.append((b, number, *cells, *extra))
         return _frame(kind, rows).combine_chunks().to_batches()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +237,11 @@ class Bucket:
         col = {n: packed.column(n).to_pylist() for n in packed.column_names}
         order = sorted(range(packed.num_rows), key=lambda i: col["flush"][i])
         read = lambda name, kind: [np.frombuffer(col[name][i], kind) for i in order]
-        us, runs = read("u", _U64), read("runs", np.uint32)
+        us, runs = read("u", _U64), [unsmall(col["runs"][i]) for i in order]
         low, high = np.concatenate(read("w_low", np.uint32)), np.concatenate(read("w_high", np.uint8))
         self.flush = [col["flush"][i] for i in order]
         self.ids = [(col["ids"][i], col["held"][i]) for i in order]
-        self.n_all, self.n_train = (np.concatenate(read(n, np.uint32)).astype(np.int64) for n in ("n_all", "n_train"))
+        self.n_all, n_held = (np.concatenate([unsmall(col[n][i]) for i in order]) for n in ("n_all", "n_held"))
         self.cells_of = [int(r.sum()) for r in runs]
         self.docs = []
         for i, k, n in zip(order, np.cumsum(self.cells_of), self.cells_of):
@@ -238,7 +254,7 @@ class Bucket:
         cells, self.cell = np.unique(key, return_inverse=True)
         self.context = (cells >> _U64(40)).astype(np.int64)
         self.words, self.word = np.unique(cells & _U64((1 << 40) - 1), return_inverse=True)
-        self.customers = np.bincount(self.cell, weights=self.n_train, minlength=len(cells)).astype(np.int64)
+        self.customers = np.bincount(self.cell, weights=self.n_all - n_held, minlength=len(cells)).astype(np.int64)
         self.is_hot = np.isin(self.u, hot)
         self.total = np.bincount(self.context, weights=self.customers, minlength=len(self.u))
 
@@ -250,15 +266,15 @@ class Answers:
     """What the shards say of one sweep to one bucket."""
 
     def __init__(self, bucket: Bucket, rows: list[dict], shards: int):
-        self.parent = np.zeros(len(bucket.words))
+        above = np.zeros((2, len(bucket.words)))
         self.customers, self.tables = bucket.total.copy(), np.zeros(len(bucket.u))
         home = shard_of(bucket.words, shards)
         hot_home = shard_of(bucket.u >> _U64(24), shards)
         sums = np.zeros(_GLOBALS)
         for r in rows:
             if r["state"] is not None:
-                self.state = np.frombuffer(r["state"], np.uint32).astype(np.int64)
-            self.parent[home == r["origin"]] = np.frombuffer(r["values"], np.float32)
+                self.state = unsmall(r["state"])
+            above[:, home == r["origin"]] = unsmall(r["values"]).reshape(2, -1)
             at = np.flatnonzero(bucket.is_hot & (hot_home == r["origin"]))
             both = np.frombuffer(r["hot_values"], np.float64).reshape(2, -1)
             self.customers[at], self.tables[at] = both
@@ -269,7 +285,7 @@ class Answers:
         c0, t0, ones0, twos0, self.tokens, self.types, ones, twos = sums
         self.discount, self.strength = _discount(ones, twos), 1.0
         d0, s0 = _discount(ones0, twos0), 1.0
-        self.chance = (self.parent + (s0 + d0 * t0) / (self.types + 1)) / (s0 + c0)
+        self.chance = (np.maximum(0.0, above[0] - d0 * above[1]) + (s0 + d0 * t0) / (self.types + 1)) / (s0 + c0)
 
     def predictive(self, bucket: Bucket) -> np.ndarray:
         """Probability of each cell's word after its context."""
@@ -290,7 +306,7 @@ def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
 
 def _send(bucket: Bucket, number: int, sweep: int, tables: np.ndarray, sums: np.ndarray, shards: int, memory: bytes | None = None) -> pa.Table:
     """One message to each shard; one of them keeps the bucket's state and sends it back."""
-    by_word = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words)).astype(np.uint32)
+    by_word = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words)).astype(np.int64)
     home, hot_home = shard_of(bucket.words, shards), shard_of(bucket.u >> _U64(24), shards)
     by_context = bucket.sum_by_context(tables)
     cold = ~bucket.is_hot
@@ -304,19 +320,23 @@ def _send(bucket: Bucket, number: int, sweep: int, tables: np.ndarray, sums: np.
         mine = r == number % shards
         head = np.array([*sums[:2], sums[5], *sums[2:4], *((tokens, types, (bucket.customers == 1).sum(), (bucket.customers == 2).sum()) if mine else (0, 0, 0, 0))], np.float64)
         w = bucket.words[at]
-        kept = (tables.astype(np.uint32).tobytes(), memory) if mine else (None, None)
-        rows.append((r, number, sweep, (w & _U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (w >> _U64(32)).astype(np.uint8).tobytes(), by_word[at].tobytes(), bucket.u[hot_at].tobytes(), np.stack([bucket.total[hot_at], by_context[hot_at]]).tobytes(), head.tobytes(), *kept))
+        named = (None, None, None)
+        if not sweep:  # the shards read the names of words and hot contexts from the first messages
+            named = ((w & _U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (w >> _U64(32)).astype(np.uint8).tobytes(), bucket.u[hot_at].tobytes())
+        kept = (small(tables), memory) if mine else (None, None)
+        rows.append((r, number, sweep, *named[:2], small(by_word[at]), named[2], np.stack([bucket.total[hot_at], by_context[hot_at]]).tobytes(), head.tobytes(), *kept))
     return _frame(_MAIL, rows)
 
 
-def _parent_step(key: tuple, mail: pa.Table, seed: int) -> pa.Table:
+def _parent_step(key: tuple, first: pa.Table, mail: pa.Table, seed: int) -> pa.Table:
     """One shard of the parent restaurant: sum, seat, answer every bucket."""
-    rows = sorted(mail.to_pylist(), key=lambda r: r["origin"])
+    by_origin = lambda t: sorted(t.to_pylist(), key=lambda r: r["origin"])
+    rows, names = by_origin(mail), by_origin(first.select(["origin", "words_low", "words_high", "hot"]))
     sweep = rows[0]["sweep"]
-    lows = [np.frombuffer(r["words_low"], np.uint32) for r in rows]
-    words = (np.concatenate([np.frombuffer(r["words_high"], np.uint8) for r in rows]).astype(_U64) << _U64(32)) | np.concatenate(lows)
+    lows = [np.frombuffer(r["words_low"], np.uint32) for r in names]
+    words = (np.concatenate([np.frombuffer(r["words_high"], np.uint8) for r in names]).astype(_U64) << _U64(32)) | np.concatenate(lows)
     _, back = np.unique(words, return_inverse=True)
-    customers = np.bincount(back, weights=np.concatenate([np.frombuffer(r["values"], np.uint32) for r in rows])).astype(np.int64)
+    customers = np.bincount(back, weights=np.concatenate([unsmall(r["values"]) for r in rows])).astype(np.int64)
     heads = np.stack([np.frombuffer(r["head"], np.float64) for r in rows])
     c0, t0, types, ones0, twos0 = heads[0, :5]
     rng = np.random.default_rng([seed, 7, sweep, key[0].as_py()])
@@ -325,20 +345,18 @@ def _parent_step(key: tuple, mail: pa.Table, seed: int) -> pa.Table:
         tables = draw_tables(customers, np.full(len(customers), max(0.0, t0 - 1)), np.full(len(customers), 1 / (types + 1)), d0, 1.0, rng)
     else:
         tables = np.minimum(customers, 1)
-    # The discount that buckets use comes from these counts; the sums below are of this sweep.
-    hot, hot_back = np.unique(np.concatenate([np.frombuffer(r["hot"], _U64) for r in rows]), return_inverse=True)
+    hot, hot_back = np.unique(np.concatenate([np.frombuffer(r["hot"], _U64) for r in names]), return_inverse=True)
     both = np.concatenate([np.frombuffer(r["hot_values"], np.float64).reshape(2, -1) for r in rows], axis=1)
     totals = np.stack([np.bincount(hot_back, weights=b, minlength=len(hot)) for b in both])
     ones, twos = (customers == 1).sum(), (customers == 2).sum()
     sums = np.array([customers.sum(), tables.sum(), ones, twos, *heads[:, 5:].sum(axis=0)], np.float64)
     sums[4] += totals[0].sum()
     sums[5] += (totals[0] > 0).sum()
-    parent = np.maximum(0.0, customers - d0 * tables).astype(np.float32)
     out, at, hot_at = [], 0, 0
-    for r, low in zip(rows, lows):
-        n_hot = len(r["hot"]) // 8
+    for r, name, low in zip(rows, names, lows):
+        n_hot = len(name["hot"]) // 8
         mine = hot_back[hot_at : hot_at + n_hot]
-        out.append((r["origin"], key[0].as_py(), sweep, None, None, parent[back[at : at + len(low)]].tobytes(), None, totals[:, mine].tobytes(), sums.tobytes(), r["state"], r["memory"]))
+        out.append((r["origin"], key[0].as_py(), sweep, None, None, small(np.concatenate([customers[back[at : at + len(low)]], tables[back[at : at + len(low)]]])), None, totals[:, mine].tobytes(), sums.tobytes(), r["state"], r["memory"]))
         at, hot_at = at + len(low), hot_at + n_hot
     return _frame(_MAIL, out)
 
@@ -377,8 +395,11 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
         tables = draw_tables(bucket.customers, others, now.chance[bucket.word], now.discount, now.strength, rng)
         return _send(bucket, number, sweep, tables, now.sums, shards, memory)
 
-    def answer(key: tuple, table: pa.Table) -> pa.Table:
-        return _parent_step(key, table, seed)
+    def first_answer(key: tuple, table: pa.Table) -> pa.Table:
+        return _parent_step(key, table, table, seed)
+
+    def answer(key: tuple, first: pa.Table, table: pa.Table) -> pa.Table:
+        return _parent_step(key, first, table, seed)
 
     def score(key: tuple, table: pa.Table, mail: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -397,18 +418,18 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
             at += n
             here, back = np.unique(doc, return_inverse=True)
             total = lambda v: np.bincount(back, weights=v, minlength=len(here))
-            cells = (here.astype(np.uint32), total(log_c[cell]), total(log_p[cell]).astype(np.float32), total((count[cell] > 0)).astype(np.uint32))
-            out.append((flush, *(c.tobytes() for c in cells), ids, held, np.bincount(back, minlength=len(here)).astype(np.uint32).tobytes(), int(now.tokens), int(now.types)))
+            cells = (small(np.diff(here, prepend=0)), total(log_c[cell]).tobytes(), total(log_p[cell]).astype(np.float32).tobytes(), small(total(count[cell] == 0).astype(np.int64)))
+            out.append((flush, *cells, ids, held, small(np.bincount(back, minlength=len(here))), int(now.tokens), int(now.types)))
         return _frame(_PARTS, out)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         ids, flags = next((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["held"], np.uint8)) for r in rows if r["ids"] is not None)
         sums = np.zeros((4, len(ids)))
-        for r in sorted(rows, key=lambda r: r["doc"]):
-            at = np.frombuffer(r["doc"], np.uint32)
-            for k, (name, kind) in enumerate((("base", np.float64), ("score", np.float32), ("known", np.uint32), ("size", np.uint32))):
-                sums[k, at] += np.frombuffer(r[name], kind)
+        for r in sorted(rows, key=lambda r: (r["doc"], r["score"])):
+            at = np.cumsum(unsmall(r["doc"]))
+            for k, values in enumerate((np.frombuffer(r["base"], np.float64), np.frombuffer(r["score"], np.float32), unsmall(r["unknown"]), unsmall(r["size"]))):
+                sums[k, at] += values
         tokens, types = rows[0]["train_tokens"], rows[0]["types"]
         size = sums[3]
         return pa.table(
@@ -416,7 +437,7 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
                 "doc_id": pa.array(ids, mask=flags >= 2),
                 "held_out": pa.array(flags % 2 == 1),
                 "n_tokens": pa.array(size.astype(np.int64)),
-                "n_known": pa.array(sums[2].astype(np.int64)),
+                "n_known": pa.array((size - sums[2]).astype(np.int64)),
                 "train_tokens": pa.array(np.full(len(ids), tokens), pa.int64()),
                 "base_score": pa.array(sums[0] - size * np.log10(tokens + types + 1)),
                 "score": pa.array(sums[1]),
@@ -424,10 +445,11 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
             }
         )
 
-    mail = packed.groupBy("bucket").applyInArrow(start, _MAIL)
+    # Every step reads the packed occurrences and the first messages from the same two shuffles.
+    first = packed.groupBy("bucket").applyInArrow(start, _MAIL)
+    replies = first.groupBy("target").applyInArrow(first_answer, _MAIL)
     for _ in range(burn_in + samples):
-        replies = mail.groupBy("target").applyInArrow(answer, _MAIL)
         mail = packed.groupBy("bucket").cogroup(replies.groupBy("target")).applyInArrow(seat, _MAIL)
-    replies = mail.groupBy("target").applyInArrow(answer, _MAIL)
+        replies = first.groupBy("target").cogroup(mail.groupBy("target")).applyInArrow(answer, _MAIL)
     parts = packed.groupBy("bucket").cogroup(replies.groupBy("target")).applyInArrow(score, _PARTS)
     return parts.groupBy("flush").applyInArrow(gather, SCORES)
