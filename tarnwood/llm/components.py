@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     log2 of the longest path. Self-loops and repeated edges are allowed; nulls are dropped. A node
     that many edges share is handled by partial aggregation and by joins that Spark may split.
     """
-    ids = edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null")
+    ids = written(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src is not null and dst is not null"), "links")
     loops = ids.where("src = dst").select(F.col("src").alias("node")).distinct()
     now = written(ids.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "edges")
     mark = _mark(now)
