@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwood.llm.components import connected_components, star_of
-from tarnwood.llm.shared import written
+from tarnwood.llm.shared import in_small_batches, written
 from tarnwood.llm.tokens import mix, windows, words_of
 
 _EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     repeat a doc_id get one component if their texts link. Other columns are ignored; an empty table
     gives an empty table.
     """
-    features = written(shingle_features(docs, width, percent), "shingles")
+    features = written(shingle_features(in_small_batches(docs), width, percent), "shingles")
     full = features.where("n_shingles > 0")
     key = ["n_shingles", "h1", "h2"]
     classes = full.groupBy(*key, "band").agg(F.min(F.struct("doc_id", "bits")).alias("rep")).select(*key, "band", "rep.*")

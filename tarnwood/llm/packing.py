@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwood.llm.shared import in_small_batches
 from tarnwood.llm.tokens import Words, find_words, lowered, slices
 
 PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
 )
-_MOST_CACHED = 2_000_000
+_MOST_CACHED = 1_000_000
 
 
 class LevelPacker:
@@ -161,9 +162,8 @@ class WordEncoder:
                 parts[k], sizes[k] = alone[k], len(alone[k])
             flat = np.concatenate(parts)
         at = np.cumsum(sizes) - sizes + len(self.ids)
-        keys, at, sizes = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, sizes])
-        order = np.argsort(keys)
-        self.keys, self.at, self.size = keys[order], at[order].astype(np.int32), sizes[order].astype(np.int32)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.size = (np.insert(have, place, more) for have, more in ((self.keys, keys), (self.at, at), (self.size, sizes)))
         self.ids = np.concatenate([self.ids, flat.astype(np.uint32)])
 
     def _place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -241,4 +241,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
                 yield rows(packer.take_full())
         yield rows(packer.finish())
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, PIECES)
+    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, PIECES)

@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwood.llm.shared import in_small_batches
 from tarnwood.llm.tokens import mix, words_of
 
 _U64 = np.uint64
 _BEGIN = _U64(0xB5AD4ECEDA1CE2A9)
 _FINISH = _U64(0x1F83D9ABFB41BD6B)
-_FLUSH = 4_600_000
+_FLUSH = 3_000_000
 _EXACT = 32
 _GLOBALS = 8  # customers, tables, ones, twos of the parent; tokens, types, ones, twos of the contexts
 
@@ -372,7 +373,7 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
     gives an empty table. Words are told apart by 64-bit hashes as contexts and 40-bit hashes as
     dishes.
     """
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, buckets // 2)
     hot_list = hot_contexts(docs, buckets)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwood.llm.shared import in_small_batches
 from tarnwood.llm.tokens import Words, find_words, slices, windows
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -180,7 +181,7 @@ def quality_cascade(
     """
     order = order_rules(docs, text_col, sample_rows) if rules is None else list(rules)
     made = {"kept", "rejected_by", *measures}
-    base = docs.drop(*(c for c in docs.columns if c in made and c != text_col))
+    base = in_small_batches(docs).drop(*(c for c in docs.columns if c in made and c != text_col))
     added = [T.StructField("kept", T.BooleanType()), T.StructField("rejected_by", T.StringType()), *(T.StructField(m, T.LongType()) for m in measures)]
     names = [f.name for f in base.schema.fields]
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwood.llm.shared import written
+from tarnwood.llm.shared import in_small_batches, written
 
 _MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.S)
 _ATTRIBUTION = re.compile(r"(?:on\b.*\bwrote|am\b.*\bschrieb.*|le\b.*\ba écrit|el\b.*\bescribió)\s*:\s*", re.I | re.S)
@@ -89,7 +89,7 @@ def parse_messages(messages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays], names=_PARSED.names)
 
     casts = [F.col(c).cast(k).alias(c) for c, k in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))]
-    return messages.select(*casts).mapInArrow(parse, _PARSED)
+    return in_small_batches(messages).select(*casts).mapInArrow(parse, _PARSED)
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:

@@ -37,5 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, after telling its session to hand at most ``rows`` rows at once to Python.
+
+    Texts can be long; the usual ten thousand of them need not fit a Python worker's memory.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
