@@ -74,26 +74,26 @@ def mix_sources(
         return int.from_bytes(name[:4], "big") % (1 << 20) / (1 << 20)
 
     kind = T.StructType(
-        [T.StructField("_source", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_each", T.DoubleType()), T.StructField("_offset", T.DoubleType()), T.StructField("_buckets", T.LongType())]
+        [T.StructField("_s", T.IntegerType()), T.StructField("_source", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_each", T.DoubleType()), T.StructField("_offset", T.DoubleType()), T.StructField("_buckets", T.LongType())]
     )
     plan = spark.createDataFrame(
-        [(r[0], int(r["size"] or 0), float(target[r[0]]), min(most, target[r[0]] / r["size"]) if r["size"] else 0.0, offset(r[0]), max(8, r["n"] // _CELL_ROWS)) for r in rows], kind
+        [(k, r[0], int(r["size"] or 0), float(target[r[0]]), min(most, target[r[0]] / r["size"]) if r["size"] else 0.0, offset(r[0]), max(8, r["n"] // _CELL_ROWS)) for k, r in enumerate(rows)], kind
     )
     # One row per source, counted above.
     small = F.broadcast(plan) if len(rows) <= 100_000 else plan
-    cell = ["_source", "_class", "_bucket"]
+    # The source's number, never null, stands for it from here: ranking and the join that follows deal rows alike, in one shuffle.
+    cell = ["_s", "_class", "_bucket"]
     placed = (
         docs.join(small, F.col(source_col).eqNullSafe(F.col("_source")))
         .withColumn("_class", F.floor(8 * F.log2(F.col(size_col) + 1)).cast("int"))
         .withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(size_col)), F.col("_buckets")))
     )
     counts = placed.groupBy(*cell).agg(F.count("*").alias("_in_cell"))
-    earlier = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.coalesce(F.sum("_in_cell").over(earlier), F.lit(0))).select(*(F.col(c).alias(f"{c}_") for c in cell), "_before")
+    earlier = Window.partitionBy("_s").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_in_cell").over(earlier), F.lit(0))).select(*cell, "_before")
     ranked = placed.withColumn("_row", F.row_number().over(Window.partitionBy(*cell).orderBy(size_col, id_col)))
-    same = F.col("_source").eqNullSafe(F.col("_source_")) & (F.col("_class") == F.col("_class_")) & (F.col("_bucket") == F.col("_bucket_"))
     rank = F.col("_row") + F.col("_before")
     upto = lambda n: F.floor(n * F.col("_each") + F.col("_offset"))
     copies = F.least(upto(rank) - upto(rank - 1), F.lit(int(-(-most // 1)))).cast("int")
-    out = ranked.join(before, same).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col(size_col))
+    out = ranked.join(before, cell).withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col(size_col))
     return out.select(*docs.columns, "source_size", "target", "copies", "taken")
