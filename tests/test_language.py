@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwood.functions import dsl
+from tarnwood.functions import dsl, params
 from tarnwood.functions.expressions import chart_step, go_seconds, satisfies, schema_fingerprint, size_class
 from tarnwood.operators.profiling import merged_type
 
@@ -61,3 +61,10 @@ def test_small_helpers(spark):
     caps = spark.createDataFrame([({"gpu": {"n": "5", "kind": "a"}},)], "c map<string,map<string,string>>")
     tests = [[("gpu", "n", "eq", 5.0)], [("gpu", "n", "gte", 6)], [("gpu", "kind", "in", ["a", "b"])], [("gpu", "x", "exists", None)], [], [("gpu", "n", "near", 5)]]
     assert caps.select(*(satisfies(F.col("c"), t).alias(str(k)) for k, t in enumerate(tests))).first() == (True, False, True, False, True, False)
+
+
+def test_bracket_params():
+    got = params.parse_params("filter[createdAt][gt]=2024-01-01&filter[meta.numRows]=5&filter[x][near]=1&sort=-createdAt,%2Bname&page=3&size=900&size=many")
+    assert got.query.terms == [dsl.Term("filter", "2024-01-01", "created_at", "gt"), dsl.Term("filter", "5", "meta.num_rows", "eq")]
+    assert got.sort == ["-createdAt", "+name"] and (got.page, got.size) == (3, 900) and len(got.warnings) == 2
+    assert [params.snake(n) for n in ("name", "sizeBytes", "a.bC")] == ["name", "size_bytes", "a.b_c"]

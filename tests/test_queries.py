@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tarnwood import catalog_queries
+from tarnwood import catalog_queries, merge_queries  # noqa: F401  (registers its queries)
 
 
 def rows_of(columns, rows):
