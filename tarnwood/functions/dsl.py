@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
@@ -145,20 +146,27 @@ def _filter(term: Term, target: Column, kind: T.DataType, now: datetime) -> Colu
     return {"eq": target == right, "ne": target != right, "gt": target > right, "gte": target >= right, "lt": target < right, "lte": target <= right}[term.op]
 
 
-def compile_query(query: Query, schema: T.StructType, now: datetime, search: tuple[str, ...] = (), datatypes: dict[str, list[str]] | None = None, meta: dict[str, Column] | None = None) -> Column:
+def compile_query(
+    query: Query, schema: T.StructType, now: datetime, search: tuple[str, ...] = (), datatypes: dict[str, list[str]] | None = None, meta: dict[str, Column] | None = None,
+    virtual: dict[str, tuple[Column, T.DataType]] | None = None, open_keys: dict[str, Callable[[str], Column]] | None = None,
+) -> Column:
     """One boolean column: all terms joined by AND; search texts match any of the ``search`` columns.
 
     ``meta`` names the columns of the metadata sugar: col (array), dim (array), pii (array), attr
-    (map), format (string), schema (string). An unknown field or data type matches nothing.
+    (map), format (string), schema (string). ``virtual`` adds fields by name as (column, type),
+    ``open_keys`` families of text fields by prefix. An unknown field or data type matches nothing.
     """
     meta = meta or {}
+    fields = {f.name: (F.col(f"`{f.name}`"), f.dataType) for f in schema.fields} | (virtual or {})
     parts: list[Column] = []
     for term in query.terms:
         if term.kind == "search":
             parts.append(reduce(lambda a, b: a | b, (F.col(c).cast("string").ilike(f"%{term.value}%") for c in search), F.lit(False)))
         elif term.kind == "filter":
-            known = term.field in schema.names
-            parts.append(_filter(term, F.col(term.field), schema[term.field].dataType, now) if known else F.lit(False))
+            family = next((p for p in open_keys or {} if term.field.startswith(p)), None)
+            if family and term.field not in fields:
+                fields[term.field] = (open_keys[family](term.field[len(family):]), T.StringType())
+            parts.append(_filter(term, *fields[term.field], now) if term.field in fields else F.lit(False))
         elif term.kind == "datatype":
             digests = (datatypes or {}).get(term.value) or [""]
             parts.append(meta["schema"].isin(*digests) if "schema" in meta else F.lit(False))

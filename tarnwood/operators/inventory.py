@@ -109,3 +109,34 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
 def any_of(*parts: DataFrame, on: str) -> DataFrame:
     """Distinct ids that any membership path yields."""
     return reduce(lambda a, b: a.union(b), (p.select(on) for p in parts)).distinct()
+
+
+def migration_rows(files: DataFrame, server: str, content_hash: str | None = None, target: str | None = None) -> DataFrame:
+    """Rows to move off a server: those of one content, else all canonical ones, with ``target`` only those meant for it."""
+    here = files.where(F.col("server") == server)
+    if content_hash is not None:
+        return here.where(F.col("content_hash") == content_hash)
+    chosen = here.where("is_canonical")
+    return chosen if target is None else chosen.where(F.col("migration_target") == target)
+
+
+def data_types(types: DataFrame, digests: DataFrame, entries: DataFrame) -> DataFrame:
+    """Each data type with its digests in the order they were attached and the entries that have one of them.
+
+    Types: type_id, ...; digests: digest, type_id, attached; entries: digest.
+    """
+    n = entries.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"))
+    held = digests.join(n, "digest", "left").groupBy("type_id").agg(F.sort_array(F.collect_list(F.struct("attached", "digest"))).alias("_d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_entries"))
+    rows = types.join(held, "type_id", "left").na.fill(0, ["n_entries"])
+    return rows.withColumn("digests", F.coalesce(F.transform("_d", lambda d: d["digest"]), F.array().cast("array<string>"))).drop("_d")
+
+
+def attach(digests: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Digests after detaching ``removed`` (digest) and attaching ``added``; one already held stays where it is."""
+    kept = digests.join(removed.select("digest"), "digest", "left_anti")
+    return kept.unionByName(added.join(kept.select("digest"), "digest", "left_anti"))
+
+
+def backfill(entries: DataFrame, test: Column, at: str, key: str, most: int = 1000) -> DataFrame:
+    """The oldest entries that a saved filter matches."""
+    return entries.where(test).orderBy(at, key).limit(most)

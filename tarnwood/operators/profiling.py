@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +88,81 @@ def merged_type(a: str | None, b: str | None) -> str | None:
     return "float64" if {a, b} == {"int64", "float64"} else "string"
 
 
+def _json_type(value) -> str:
+    """An array has the type of its first element; an empty one and null are text."""
+    if isinstance(value, dict):
+        return "struct<" + ",".join(f"{k}:{_json_type(v)}" for k, v in sorted(value.items())) + ">"
+    if isinstance(value, list):
+        return f"list<{_json_type(value[0]) if value else 'string'}>"
+    if isinstance(value, bool):
+        return "bool"
+    if isinstance(value, (int, float)):
+        return "int64" if isinstance(value, int) and -(1 << 63) <= value < 1 << 63 else "float64"
+    return "string"
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("type", T.StringType()), T.StructField("empty", T.BooleanType())])))
+def _json_fields(texts: pd.Series) -> pd.Series:
+    def fields(text):
+        try:
+            found = json.loads(text or "")
+        except ValueError:
+            return None
+        return [{"name": k, "type": _json_type(v), "empty": v is None} for k, v in found.items()] if isinstance(found, dict) else None
+
+    return pd.Series([fields(t) for t in texts], dtype=object)
+
+
+def infer_json_types(rows: DataFrame, text: str, order: str) -> DataFrame:
+    """column, type, nullable of the top fields of JSON objects; what is no object is passed over.
+
+    Integers and decimals make float64, any other two types string. A field that is null at its
+    first sight (by ``order``) stays a string. Strings, and fields that some object lacks or holds
+    as null, are nullable.
+    """
+    objects = rows.select(order, _json_fields(F.col(text)).alias("_f")).where("_f is not null")
+    # The row without a name counts the objects.
+    seen = objects.select(order, F.explode(F.concat(F.col("_f"), F.array(F.struct(F.lit(None).cast("string").alias("name"), F.lit("").alias("type"), F.lit(True).alias("empty")))))).select(order, "col.*")
+    kinds = seen.groupBy("name", "type", "empty").agg(F.count("*").alias("n"), F.min(order).alias("at"))
+    full = ~F.col("empty")
+    names = kinds.groupBy("name").agg(
+        F.sum("n").alias("n"), F.coalesce(F.sum(F.when(full, F.col("n"))), F.lit(0)).alias("n_full"), F.min_by("empty", F.struct("at", "empty")).alias("empty_first"),
+        F.count_if(full).alias("n_types"), F.min(F.when(full, F.col("type"))).alias("a"), F.max(F.when(full, F.col("type"))).alias("b"),
+    )
+    total = names.where("name is null").select(F.col("n").alias("total"))
+    mixed = (F.col("n_types") == 2) & (F.col("a") == "float64") & (F.col("b") == "int64")
+    kind = F.when(F.col("empty_first"), "string").when(F.col("n_types") == 1, F.col("a")).when(mixed, "float64").otherwise("string")
+    typed = names.where("name is not null").join(F.broadcast(total)).withColumn("type", kind)  # one row
+    return typed.select(F.col("name").alias("column"), "type", ((F.col("n_full") < F.col("total")) | (F.col("type") == "string")).alias("nullable"))
+
+
+def parquet_statistics(spark, path: str) -> DataFrame:
+    """n_rows, n_null, low and high of every numeric column of Parquet files.
+
+    The counts are pushed into the scan and answered from the footers. The ranges are read, as
+    Spark refuses footers of row groups that hold only nulls. The session's switch for pushing
+    aggregates stays on; it acts on no other reader of Parquet.
+    """
+    key = "spark.sql.sources.useV1SourceList"
+    before = spark.conf.get(key)
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    spark.conf.set(key, ",".join(s for s in before.split(",") if s != "parquet"))
+    try:
+        footers = spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    names = [f.name for f in footers.schema.fields if isinstance(f.dataType, T.NumericType) and not isinstance(f.dataType, T.DecimalType)]
+    cells = [(k, F.col(f"`{c}`")) for k, c in enumerate(names)]
+    counts = footers.agg(F.count("*").alias("n"), *(F.count(c).alias(f"c{k}") for k, c in cells))
+    ranges = spark.read.parquet(path).agg(*(x for k, c in cells for x in (F.min(c).alias(f"l{k}"), F.max(c).alias(f"h{k}"))))
+    rows = [F.struct(F.lit(c).alias("column"), F.col("n").alias("n_rows"), (F.col("n") - F.col(f"c{k}")).alias("n_null"), F.col(f"l{k}").cast("double").alias("low"), F.col(f"h{k}").cast("double").alias("high")) for k, c in enumerate(names)]
+    return counts.join(F.broadcast(ranges)).select(F.inline(F.array(*rows)))  # one row each
+
+
+def preview(df: DataFrame, n: int = 10) -> DataFrame:
+    return df.limit(n)
+
+
 def classify_patterns(df: DataFrame, least: float) -> DataFrame:
     """Share of non-empty values that match each pattern, where it is at least ``least``."""
     cells = _long(df.select(*(f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)))).where("value <> ''")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: name -> (stored tables it reads, SELECT). ``{digest}`` is the engine's SHA-256 of a text.
@@ -50,6 +52,35 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(l_quantity * 10 AS BIGINT) END AS ms, l_partkey AS sequence FROM lineitem""",
     ),
     "messages": (("conversations",), "SELECT conv_id, turn, role, text FROM conversations"),
+    "causal_events": (
+        ("events",),
+        """SELECT 'n' || CAST(user_id % 20 AS STRING) AS net, event_id AS seq, event_type AS name,
+             CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 OR event_id % 17 = 0 THEN 'TokenCreated' ELSE 'TransitionFired' END AS kind FROM events""",
+    ),
+    "causal_tokens": (
+        ("events",),
+        """SELECT 'n' || CAST(user_id % 20 AS STRING) AS net, event_id AS seq, 't' || CAST(event_id AS STRING) AS token, 'produced' AS role,
+             CASE WHEN event_id % 17 = 0 THEN 'sig_' || event_type ELSE event_type END AS place, props AS data FROM events
+           UNION ALL SELECT 'n' || CAST(user_id % 20 AS STRING), event_id, 't' || CAST(event_id - 1 - event_id % 5 AS STRING), 'consumed', event_type, CAST(NULL AS STRING)
+           FROM events WHERE event_id > 10 AND event_id % 11 <> 0 AND event_id % 13 <> 0 AND event_id % 17 <> 0""",
+    ),
+    "causal_cross": (
+        ("events",),
+        """SELECT 'k' || CAST(a.event_id AS STRING) AS signal_key, 'n' || CAST(b.user_id % 20 AS STRING) AS egress_net, b.event_id AS egress_seq, 'n' || CAST(a.user_id % 20 AS STRING) AS ingress_net, a.event_id AS ingress_seq
+           FROM events a JOIN events b ON b.event_id = a.event_id - 7 WHERE a.event_id % 11 = 0""",
+    ),
+    "causal_signals": (
+        ("events",),
+        """SELECT 's' || CAST(a.event_id AS STRING) AS signal_key, 'n' || CAST(b.user_id % 20 AS STRING) AS egress_net, b.event_id AS egress_seq, 'n' || CAST(a.user_id % 20 AS STRING) AS ingress_net, a.event_id AS ingress_seq
+           FROM events a JOIN events b ON b.event_id = a.event_id - 9 WHERE a.event_id % 13 = 0""",
+    ),
+    "causal_tags": (("events",), "SELECT 't' || CAST(event_id AS STRING) AS token, 'p' || CAST(user_id % 40 AS STRING) AS process FROM events"),
+    "triggers": (("events",), "SELECT user_id % 50 AS key, event_id AS seq, CASE WHEN event_type IN ('purchase', 'error') THEN 'done' ELSE 'fire' END AS kind, 'p' || CAST(event_id AS STRING) AS payload FROM events"),
+    "arcs": (
+        ("lineitem",),
+        """SELECT DISTINCT 'n' || CAST(l_partkey AS STRING) AS place, 't' || CAST(l_suppkey AS STRING) AS transition, 'x' || CAST(l_linenumber % 3 AS STRING) AS port,
+             CASE WHEN l_linenumber % 2 = 0 THEN 'in' ELSE 'out' END AS direction, 1 + l_orderkey % 2 AS weight FROM lineitem WHERE l_partkey % 5 <> 0""",
+    ),
     "tokens": (("events",), "SELECT event_id AS seq, event_type AS place, user_id % 50 AS k, value, ts FROM events"),
 }
 
@@ -63,8 +94,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     text = sql.replace("{digest}", "sha2(text, 256)")
     for t in tables:
-        text = text.replace(f"FROM {t} ", f"FROM {{{t}}} ").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
-        text = text[: -len(t)] + f"{{{t}}}" if text.endswith(f"FROM {t}") else text
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)
     return spark.sql(text, **frames)
 
 
