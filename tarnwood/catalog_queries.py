@@ -330,17 +330,17 @@ _BACK = f"WITH RECURSIVE {_LINKS}, back(root, node, depth) AS (SELECT node, node
 def provenance_ancestry(spark, sf_dir):
     links = _links(spark, sf_dir)
     roots = links.where("node like '%:5'").select(F.col("node").alias("root"), "node")
-    return provenance.ancestry(spark, links, roots, 4)
+    return provenance.reached(links, roots, 4)
 
 
 @query("provenance_edges", f"{_BACK} SELECT DISTINCT x.root, l.node, l.cause FROM back x JOIN links l ON x.node = l.node JOIN back y ON y.root = x.root AND y.node = l.cause")
 def provenance_edges(spark, sf_dir):
     links = _links(spark, sf_dir)
     roots = links.where("node like '%:5'").select(F.col("node").alias("root"), "node")
-    return provenance.edges_within(links, provenance.ancestry(spark, links, roots, 4))
+    return provenance.edges_within(links, provenance.reached(links, roots, 4))
 
 
-@query("tag_propagation")
+@query("tag_propagation", f"WITH RECURSIVE {_LINKS}, fwd(node, tag, depth) AS (SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING), CAST(conv_id AS STRING), 0 FROM v_messages WHERE role = 'system' UNION SELECT l.node, f.tag, f.depth + 1 FROM fwd f JOIN links l ON l.cause = f.node WHERE f.depth < 3) SELECT DISTINCT node, tag FROM fwd")
 def tag_propagation(spark, sf_dir):
     links = _links(spark, sf_dir)
     tags = view(spark, sf_dir, "messages").where("role = 'system'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("node"), F.col("conv_id").cast("string").alias("tag"))

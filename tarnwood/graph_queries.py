@@ -37,7 +37,7 @@ def cause_links(spark, sf_dir):
 def cause_ancestry(spark, sf_dir):
     links = _causes(spark, sf_dir).select(causality.node(F.col("net"), F.col("seq")).alias("node"), causality.node(F.col("cause_net"), F.col("cause_seq")).alias("cause")).distinct()
     roots = view(spark, sf_dir, "causal_events").where("name = 'signup'").select(causality.node(F.col("net"), F.col("seq")).alias("node"))
-    return provenance.ancestry(spark, links, roots.select(F.col("node").alias("root"), "node"), 3)
+    return provenance.reached(links, roots.select(F.col("node").alias("root"), "node"), 3)
 
 
 @query("event_token_details", "SELECT t.net, t.seq, t.token, t.role, t.place, COALESCE(t.data, p.data) AS data FROM v_causal_tokens t LEFT JOIN v_causal_tokens p ON p.token = t.token AND p.role = 'produced'")

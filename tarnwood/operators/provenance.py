@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwood.plans.lineage import cut
 
-def ancestry(spark, links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, node, depth) of everything reached from ``roots`` (root, node) within ``depth`` steps.
 
-    ``links`` is (node, cause); several kinds of links are unioned before. The recursion is Spark's
-    own, with its level limit raised to what was asked for.
+def reached(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """(root, node, depth) of everything reached from ``start`` (root, node) within ``depth`` steps.
+
+    ``links`` is (node, cause); several kinds of links are unioned before. Each step follows only
+    what the step before found for the first time, so neither circles nor the many paths through
+    one node multiply rows. Ends early where nothing new is found.
     """
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, depth + 2)))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    text = f"""WITH RECURSIVE back(root, node, depth) AS (
-        SELECT root, node, 0 FROM {{roots}}
-        UNION ALL
-        SELECT b.root, l.cause, b.depth + 1 FROM back b JOIN {{links}} l ON b.node = l.node WHERE b.depth < {int(depth)})
-      SELECT root, node, min(depth) AS depth FROM back GROUP BY root, node"""
-    return spark.sql(text, roots=roots, links=links)
+    links = cut(links.select("node", "cause").distinct())
+    newest = seen = cut(start.select("root", "node").distinct().withColumn("depth", F.lit(0)))
+    for step in range(1, depth + 1):
+        further = newest.join(links, "node").select("root", F.col("cause").alias("node")).distinct()
+        newest = cut(further.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        if newest.isEmpty():
+            break
+        seen = seen.union(newest)
+    return seen
 
 
 def edges_within(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -31,11 +35,8 @@ def edges_within(links: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def propagate_tags(links: DataFrame, tags: DataFrame, depth: int) -> DataFrame:
     """Tags (node, tag) flow from causes to the nodes they produce, at most ``depth`` steps."""
-    seen = tags.select("node", "tag").distinct()
-    for _ in range(depth):
-        further = links.join(seen.withColumnRenamed("node", "cause"), "cause").select("node", "tag")
-        seen = seen.union(further).distinct()
-    return seen
+    forward = links.select(F.col("cause").alias("node"), F.col("node").alias("cause"))
+    return reached(forward, tags.select(F.col("tag").alias("root"), "node"), depth).select("node", F.col("root").alias("tag"))
 
 
 def lineage_steps(rows: DataFrame) -> DataFrame:

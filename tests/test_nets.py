@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwood.functions import cron, metadata
-from tarnwood.operators import causality, inventory, nets, profiling
+from tarnwood.operators import causality, inventory, nets, profiling, provenance
 from tarnwood.sources import metric_results
 from tarnwood.streaming import policies
 from tests.test_streams import run
@@ -111,3 +111,13 @@ def test_attach_keeps_what_is_held(spark):
     make = lambda *rows: spark.createDataFrame(rows, "digest string, type_id int, attached int")
     got = inventory.attach(make(("a", 1, 1), ("b", 1, 2)), make(("a", 2, 3), ("c", 2, 4)), make(("b", 1, 2)))
     assert {tuple(r) for r in got.collect()} == {("a", 1, 1), ("c", 2, 4)}
+
+
+def test_reached_survives_circles_and_diamonds(spark):
+    # 30 diamonds in a row have 2**30 paths; the last link closes a circle.
+    rows = [(f"n{k}", f"{side}{k}") for k in range(30) for side in "ab"] + [(f"{side}{k}", f"n{k + 1}") for k in range(30) for side in "ab"] + [("n30", "n0")]
+    links = spark.createDataFrame(rows, "node string, cause string").coalesce(1)
+    got = {r.node: r.depth for r in provenance.reached(links, spark.createDataFrame([("r", "n0")], "root string, node string"), 9).collect()}
+    assert got == {f"n{k}": 2 * k for k in range(5)} | {f"{side}{k}": 2 * k + 1 for k in range(5) for side in "ab"}
+    two = spark.createDataFrame([("x", "y"), ("y", "x")], "node string, cause string")
+    assert provenance.reached(two, spark.createDataFrame([("r", "x")], "root string, node string"), 50).count() == 2

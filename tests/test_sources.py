@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tarnwood.operators import dataflow
-from tarnwood.sources import files
+from tarnwood.sources import files, sinks
 
 
 def test_crawl_and_formats(spark, tmp_path):
@@ -42,3 +42,30 @@ def test_first_match_equals_nested_loops(spark):
             if a % 3 == b % 3 and 20 - b > a:
                 want.setdefault(a, b)
     assert got == want
+
+
+def test_imports_replace_and_read_gzip(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"k":"x","n":1}\n{"k":"y","n":"oops"}\n'))
+    (tmp_path / "b.tsv").write_text("k\tn\nz\t3\n")
+    for _ in range(2):
+        got = sinks.import_dump(spark, str(tmp_path / "a.json.gz"), "k string, n long", str(tmp_path / "t"))
+    assert {tuple(r) for r in got.collect()} == {("x", 1), ("y", None)}
+    assert [tuple(r) for r in sinks.import_dump(spark, str(tmp_path / "b.tsv"), "k string, n long", str(tmp_path / "t"), "tsv").collect()] == [("z", 3)]
+
+
+def test_a_sink_goes_on_where_it_stopped(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    for rows in ([("a", 1, 1.0), ("b", 2, 2.0)], [("a", 5, 9.0), ("b", 1, 7.0)], []):
+        if rows:
+            spark.createDataFrame(rows, "k string, seq long, v double").write.mode("append").parquet(folder)
+        sinks.keyed_sink(spark.readStream.schema("k string, seq long, v double").parquet(folder), out, state).awaitTermination()
+    assert {tuple(r) for r in sinks.current(spark, out, ["k"], "seq").collect()} == {("a", 5, 9.0), ("b", 2, 2.0)}
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_a_day_that_comes_again_is_replaced(spark, tmp_path):
+    for day, n in (("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-01", 3)):
+        sinks.daily(spark.createDataFrame([(f"{day} 05:00:00", n)], "at string, n long"), "at", str(tmp_path / "s"))
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [2, 3]
