@@ -147,18 +147,20 @@ def _links_of_length(classes: DataFrame, dims: int, least: float) -> DataFrame:
     cuts = np.unique(np.array(cuts))
     reach = math.sqrt(max(0.0, 2 - 2 * least)) + _SLACK
     edges = np.concatenate([[-np.inf], cuts, [np.inf]])
-    block = F.lit(0)
-    inner = F.array(*(F.lit(float(c)) for c in cuts)) if len(cuts) else None
-    if inner is not None:
-        block = F.size(F.filter(inner, lambda c: c <= F.col("lead")))
     # A block meets those that begin within reach of it: |x - y| on one axis is at most the distance.
-    last = [int(np.searchsorted(edges[:-1], edges[k + 1] + reach, side="left")) - 1 for k in range(len(edges) - 1)]
-    last = [max(k, min(x, len(edges) - 2)) for k, x in enumerate(last)]
-    first = [next(j for j in range(k + 1) if last[j] >= k) for k in range(len(last))]
-    table = F.array(*(F.struct(F.lit(a).alias("first"), F.lit(b).alias("last")) for a, b in zip(first, last)))
-    meets = F.element_at(table, F.col("block") + 1)
-    pairs = F.transform(F.sequence(meets["first"], meets["last"]), lambda j: F.struct(F.least(j, "block").alias("low"), F.greatest(j, "block").alias("high"), (j < F.col("block")).alias("second")))
-    dealt = placed.withColumn("block", block.cast("int")).select("rep", "weight", "vec", F.explode(pairs).alias("at")).select("rep", "weight", "vec", "at.*")
+    last = np.maximum(np.arange(len(edges) - 1), np.searchsorted(edges[:-1], edges[1:] + reach, side="left") - 1)
+    first = np.searchsorted(last, np.arange(len(last)))
+    spans = ("block", "first", "last")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.searchsorted(cuts, batch.column(2).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int32()) for x in (at, first[at], last[at]))], names=[*batch.schema.names, *spans])
+
+    # The cut points go to the tasks as arrays; the plan doesn't grow with the number of blocks.
+    spread = placed.mapInArrow(meet, T.StructType([*placed.schema.fields, *(T.StructField(n, T.IntegerType()) for n in spans)]))
+    pairs = F.transform(F.sequence("first", "last"), lambda j: F.struct(F.least(j, "block").alias("low"), F.greatest(j, "block").alias("high"), (j < F.col("block")).alias("second")))
+    dealt = spread.select("rep", "weight", "vec", F.explode(pairs).alias("at")).select("rep", "weight", "vec", "at.*")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         ids, weight, second = (table.column(c).to_numpy() for c in ("rep", "weight", "second"))
