@@ -59,13 +59,13 @@ def mix_sources(
 ) -> DataFrame:
     """``docs`` (which has ``size_col``) with source_size, target, copies and taken.
 
-    Rows with a null source form a source of their own. Empty documents count as documents of size
+    Rows with a null source form a source of their own. Empty documents and null sizes count as size
     0 and may be emitted. Repeated rows are separate documents. Where ``docs`` has columns named
     like the results, the results replace them. An empty table gives an empty table. Only one row
     per source comes to the driver.
     """
     spark = docs.sparkSession
-    docs = docs.drop("source_size", "target", "copies", "taken")
+    docs = docs.drop("source_size", "target", "copies", "taken").withColumn(size_col, F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
     rows = docs.groupBy(source_col).agg(F.sum(size_col).alias("size"), F.count("*").alias("n")).collect()
     target = targets({r[0]: int(r["size"] or 0) for r in rows}, weights, share, most)
 

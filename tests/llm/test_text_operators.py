@@ -170,6 +170,8 @@ def test_targets_and_mix(spark):
         assert r.taken <= 2 * r["size"] and r["size"] == len(rows[r.doc_id][1].split())
     for r in first.values():
         assert abs(total[r.source] - r.target) <= 0.01 * r.target + 60
+    odd = spark.createDataFrame([(1, "a", None), (None, None, 5), (1, "a", 7), (1, "a", 7)], "doc_id long, source string, size long")
+    assert sorted(r["size"] for r in mixing.mix_sources(odd).collect()) == [0, 5, 7, 7]
     assert mixing.mix_sources(docs.limit(0).select("doc_id", "source", mixing.word_count(docs.text).alias("size"))).count() == 0
 
 
