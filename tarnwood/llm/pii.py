@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 _EDGE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
+#: A time may follow a date, as in 2024-02-29T10:00:00Z.
+_DATE_END = r"(?!\p{N}|(?![Tt][0-9]{2})\p{L})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: kind -> pattern, in the order in which they are tried at a place.
 KINDS: dict[str, str] = {
     "email": _EDGE + r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}" + _END,
-    "secret": _EDGE + r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})" + _END,
-    "date": _EDGE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})" + _END,
+    "secret": _EDGE + r"(?:[0-9A-Fa-f]{32}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{64})" + _END,
+    "date": _EDGE + r"(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})" + _DATE_END,
     "ip": r"(?<![\p{L}\p{N}.])" + _OCTET + r"(?:\." + _OCTET + r"){3}(?!\.?[\p{L}\p{N}])",
     "phone": r"(?<![\p{L}\p{N}])(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END + r"|\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,4}" + _END,
     "ssn": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
@@ -26,6 +28,8 @@ KINDS: dict[str, str] = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 _ROUNDS = 8
+#: Country calling codes: those of one and two digits; all others have three.
+_COUNTRY = "[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 
 
 def _sql(text: str) -> str:
@@ -79,15 +83,17 @@ def pseudonym_sql(m: str, key: str) -> str:
         + _let(head, "w", _refill(m, f"concat(w, cast((10 - {_luhn_sum('w')} % 10) % 10 as string))"))
         + f", {m})",
     )
-    # The country code stays; the national digits are permuted.
+    # A known country code stays; the national digits are permuted, without a known code all digits.
     phone = _let(
-        f"regexp_extract({m}, '^([+](?:1|[0-9]+))', 1)",
+        f"regexp_extract({m}, '^({_COUNTRY})', 1)",
         "p",
         f"concat(p, {_let(f'substring({m}, length(p) + 1)', 'n', _refill('n', _feistel("regexp_replace(n, '[^0-9]', '')", 'p', key, (_DIGITS,))))})",
     )
     ssn = f"if({m} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)', {_refill(m, _feistel(digits, "'ssn'", key, (_DIGITS,)))}, {m})"
     email = f"concat({_feistel(f"substring_index({m}, '@', 1)", f"lower(substring_index({m}, '@', -1))", key, (_DIGITS, _LOWER, _LOWER.upper()))}, '@', substring_index({m}, '@', -1))"
-    secret = _feistel(m, "'secret'", key, (_DIGITS + "abcdef",))
+    # Upper case gets what lower case gets, in upper case; in mixed case each class stays within itself.
+    hexed = _let(_feistel(f"lower({m})", "'secret'", key, (_DIGITS + "abcdef",)), "x", f"if({m} rlike '[A-F]', upper(x), x)")
+    secret = f"if({m} rlike '[a-f]' and {m} rlike '[A-F]', {_feistel(m, "'secret'", key, (_DIGITS, "abcdef", "ABCDEF"))}, {hexed})"
     # An address is four bytes: eight hexadecimal digits.
     packed = f"array_join(transform(split({m}, '[.]'), o -> lower(lpad(hex(cast(o as bigint)), 2, '0'))), '')"
     ip = _let(_feistel(packed, "'ip'", key, (_DIGITS + "abcdef",)), "a", "array_join(transform(array(1, 3, 5, 7), b -> conv(substring(a, b, 2), 16, 10)), '.')")

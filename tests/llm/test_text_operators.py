@@ -201,6 +201,19 @@ def test_pseudonyms_are_a_permutation(spark):
     assert len(set(got)) == len(rows) and all("1900-01-01" <= g <= "2099-12-31" for g in got)
 
 
+def test_pseudonyms_of_all_forms(spark):
+    upper = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"
+    mixed = "9233A8ecF7C5B09FE5949719B6B82BC4"
+    text = f"+4915112345678, +4420 7946 0958, +35312345678, +2 34 56 78; {upper} {upper.lower()} {mixed} 2024-02-29T10:00:00Z 2024-02-29 2024-02-29th"
+    got = pii.pseudonymise(spark.createDataFrame([(1, text, "", 0, "")], SCHEMA), "k").first()
+    form = r"\+49(\d{11}), \+44(\d\d \d{4} \d{4}), \+353(\d{8}), \+(\d \d\d \d\d \d\d); ([0-9A-F]{40}) ([0-9a-f]{40}) ([0-9A-Fa-f]{32}) (\d{4}-\d\d-\d\d)T10:00:00Z (\d{4}-\d\d-\d\d) 2024-02-29th"
+    new = re.fullmatch(form, got.text)
+    assert new and got.n_replaced == 9
+    old = ("15112345678", "20 7946 0958", "12345678", "2 34 56 78", upper, upper.lower(), mixed, "2024-02-29", "2024-02-29")
+    assert all(a != b for a, b in zip(new.groups(), old)) and new[1][:2] + new[2][:2] != "1520"
+    assert new[5] == new[6].upper() and new[8] == new[9]
+
+
 def test_language_model(spark):
     rng = random.Random(5)
     follow = {a: [rng.choice("abcdefghij") for _ in range(2)] for a in "abcdefghij"}
