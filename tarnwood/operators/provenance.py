@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwood.plans.lineage import cut
 
 
-def reached(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(root, node, depth) of everything reached from ``start`` (root, node) within ``depth`` steps.
+def reached(links: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, node, depth) of everything reached from ``start`` (root, node) within ``depth`` steps, by default all.
 
     ``links`` is (node, cause); several kinds of links are unioned before. Each step follows only
     what the step before found for the first time, so neither circles nor the many paths through
@@ -17,7 +19,7 @@ def reached(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """
     links = cut(links.select("node", "cause").distinct())
     newest = seen = cut(start.select("root", "node").distinct().withColumn("depth", F.lit(0)))
-    for step in range(1, depth + 1):
+    for step in itertools.count(1) if depth is None else range(1, depth + 1):
         further = newest.join(links, "node").select("root", F.col("cause").alias("node")).distinct()
         newest = cut(further.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(step)))
         if newest.isEmpty():

@@ -6,18 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_folders(rows: DataFrame, path: str, folders: DataFrame) -> DataFrame:
+    """``rows`` with each row of ``folders`` whose folder is ``path`` or lies above it, by equality of prefixes."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return rows.withColumn("_above", F.explode(above)).join(folders, F.col("_above") == F.col("folder")).drop("_above")
+
+
 def best_grant(grants: DataFrame, resources: DataFrame) -> DataFrame:
     """The strongest grant over each path: rank, then the deepest folder, then the role."""
-    covers = (F.col("path") == F.col("folder")) | F.startswith("path", F.concat("folder", F.lit("/")))
     depth = F.size(F.split("folder", "/"))
     order = F.max(F.struct("rank", depth.alias("depth"), "role"))
-    return resources.join(grants, covers).groupBy("path").agg(order.alias("g")).select("path", "g.rank", "g.role")
+    return with_folders(resources, "path", grants).groupBy("path").agg(order.alias("g")).select("path", "g.rank", "g.role")
 
 
 def ancestor_folders(folders: DataFrame, homes: DataFrame) -> DataFrame:
     """Folders above each home, longest first."""
-    above = (F.col("home") == F.col("folder")) | F.startswith("home", F.concat("folder", F.lit("/")))
-    return homes.join(folders, above).groupBy("home").agg(F.sort_array(F.collect_list(F.struct(F.length("folder").alias("n"), "folder")), asc=False).alias("a")).select("home", F.transform("a", lambda x: x["folder"]).alias("folders"))
+    return with_folders(homes, "home", folders).groupBy("home").agg(F.sort_array(F.collect_list(F.struct(F.length("folder").alias("n"), "folder")), asc=False).alias("a")).select("home", F.transform("a", lambda x: x["folder"]).alias("folders"))
 
 
 def stratified(rows: DataFrame, stratum: Column, order: Column, k: int) -> DataFrame:

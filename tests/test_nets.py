@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwood.functions import cron, metadata
-from tarnwood.operators import causality, inventory, nets, profiling, provenance
+from tarnwood.operators import causality, inventory, nets, profiling, provenance, ranking
 from tarnwood.sources import metric_results
 from tarnwood.streaming import policies
 from tests.test_streams import run
@@ -121,3 +121,22 @@ def test_reached_survives_circles_and_diamonds(spark):
     assert got == {f"n{k}": 2 * k for k in range(5)} | {f"{side}{k}": 2 * k + 1 for k in range(5) for side in "ab"}
     two = spark.createDataFrame([("x", "y"), ("y", "x")], "node string, cause string")
     assert provenance.reached(two, spark.createDataFrame([("r", "x")], "root string, node string"), 50).count() == 2
+
+
+def test_folders_above_all_paths_without_nested_loops(spark):
+    folders = spark.createDataFrame([("/a", 1, "r"), ("/a/b", 2, "w"), ("/ab", 9, "x"), ("", 0, "all"), ("/c/d", 3, "y")], "folder string, rank int, role string")
+    paths = [("/a/b/f",), ("/a/bc",), ("/ab",), ("/c/d/e/g",), ("/z",), ("no",), (None,)]
+    chain = ranking.ancestor_folders(folders, spark.createDataFrame(paths, "home string"))
+    assert {r.home: r.folders for r in chain.collect()} == {"/a/b/f": ["/a/b", "/a", ""], "/a/bc": ["/a", ""], "/ab": ["/ab", ""], "/c/d/e/g": ["/c/d", ""], "/z": [""]}
+    grants = ranking.best_grant(folders, spark.createDataFrame(paths, "path string"))
+    assert {r.path: r.role for r in grants.collect()} == {"/a/b/f": "w", "/a/bc": "r", "/ab": "x", "/c/d/e/g": "y", "/z": "all"}
+    for found in (chain, grants):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_ancestry_of_all_nodes_to_the_end(spark):
+    links = spark.createDataFrame([(f"1:{k}", f"1:{k - 1}") for k in range(1, 9)], "node string, cause string")
+    seen = provenance.reached(links, links.selectExpr("node as root", "node"))
+    assert {(r.root, r.node, r.depth) for r in seen.collect()} == {(f"1:{a}", f"1:{b}", a - b) for a in range(1, 9) for b in range(a + 1)}
+    assert provenance.edges_within(links, seen).count() == 36
