@@ -153,6 +153,31 @@ def test_quotation_links(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_quotation_links_in_both_directions(spark):
+    rows = [
+        (9, 0, "user", "only conversation nine says this"),
+        (5, 0, "user", "> only conversation nine says this\nfive answers nine here"),
+        (6, 0, "user", "two lines stand here\nok, agreed"),
+        (6, 1, "user", "> ok, agreed\nfine then"),
+        (7, 0, "user", "> ok, agreed\nnobody said so in seven"),
+        # A circle of three conversations, and one message that leads into it.
+        (20, 0, "user", "> words of twenty-two\nwords of twenty here"),
+        (21, 0, "user", "> words of twenty here\nwords of twenty-one"),
+        (22, 0, "user", "> words of twenty-one\nwords of twenty-two"),
+        (23, 0, "user", "> words of twenty-two\nwords of twenty-three"),
+        # Said later in the own conversation and earlier in another one.
+        (30, 0, "user", "> these words come later here\nfirst of thirty"),
+        (30, 1, "user", "these words come later here"),
+        (31, 0, "user", "these words come later here"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    see = lambda c, t: (got[c, t].parent_conv, got[c, t].parent_turn, got[c, t].root_conv, got[c, t].root_turn, got[c, t].depth)
+    assert len(got) == len(rows)
+    assert see(5, 0) == (9, 0, 9, 0, 1) and see(6, 1) == (6, 0, 6, 0, 1) and see(7, 0) == (None, None, 7, 0, 0)
+    assert [see(c, 0) for c in (20, 21, 22, 23)] == [(None, None, 20, 0, 0), (20, 0, 20, 0, 1), (21, 0, 20, 0, 2), (22, 0, 20, 0, 3)] and got[20, 0].n_linked == 1
+    assert see(30, 0) == (31, 0, 31, 0, 1)
+
+
 def test_nested_levels():
     own, passages = quotes.split_quotes("a\n> b\n>> c\n> d\n\ne")
     assert own == "a\n\ne" and passages == [(1, "b"), (2, "c"), (1, "d")]
