@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from tarnwood.llm.shared import written
 
 END = b"\r\n\r\n"
-_VERSION = re.compile(rb"(?:(?<=\n)|\A)WARC/\d\.\d\r?\n|\x1f\x8b\x08")
-_HEAD = re.compile(rb"WARC/\d\.\d\r?\n(.*?)\r?\n\r?\n", re.S)
-_MOST_HEAD = 1 << 20
+_LINE = re.compile(rb"WARC/\d\.\d\r?\n")
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n|\x1f\x8b\x08")
+_CHUNK = 1 << 16
 _PAGE = "urn:tarnwood:page:"
 
 RECORDS = T.StructType(
@@ -42,56 +42,121 @@ class Damaged(ValueError):
 
 def _record(data: bytes, at: int) -> tuple[dict, bytes, int]:
     """Headers, payload and end of the record at ``at``; every check it fails raises Damaged."""
-    head = _HEAD.match(data, at, at + _MOST_HEAD)
-    if not head:
+    version = _LINE.match(data, at)
+    if not version:
         raise Damaged("no header")
-    headers = {}
-    for line in head[1].split(b"\n"):
-        name, colon, value = line.strip().partition(b":")
+    headers, begin = {}, version.end()
+    while True:
+        stop = data.find(b"\n", begin)
+        if stop < 0:
+            raise Damaged("no header")
+        line = data[begin:stop].strip()
+        begin = stop + 1
+        if not line:
+            break
+        name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("malformed header line")
         headers[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")
-    end = head.end() + int(length)
+    end = begin + int(length)
     if data[end : end + 4] != END:
         raise Damaged("record does not end where its length says")
-    payload = data[head.end() : end]
+    payload = data[begin:end]
     named = headers.get("warc-payload-digest", "")
     if named.startswith("sha256:") and headers.get("warc-type") != "revisit" and hashlib.sha256(payload).hexdigest() != named[7:]:
         raise Damaged("payload digest differs")
     return headers, payload, end + 4
 
 
-def _member(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """Records of the gzip member at ``at`` and the member's end."""
-    reader = zlib.decompressobj(31)
-    try:
-        plain = reader.decompress(data[at:])
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from e
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` inflates to, the end of the bytes read and what is wrong with it."""
+    view = memoryview(data)
+    reader, plain, pos = zlib.decompressobj(31), [], at
+    while pos < len(data) and not reader.eof:
+        try:
+            plain.append(reader.decompress(view[pos : pos + _CHUNK]))
+            pos = min(pos + _CHUNK, len(data))
+        except zlib.error:
+            # What the failed call made is lost, so up to its bad byte all is read again byte by byte.
+            reader, plain = zlib.decompressobj(31), []
+            for k in range(at, pos, _CHUNK):
+                plain.append(reader.decompress(view[k : min(k + _CHUNK, pos)]))
+            try:
+                while True:
+                    plain.append(reader.decompress(view[pos : pos + 1]))
+                    pos += 1
+            except zlib.error as e:
+                return b"".join(plain), pos, f"gzip: {e}"
     if not reader.eof:
-        raise Damaged("gzip member is cut short")
+        return b"".join(plain), pos, "gzip member is cut short"
+    return b"".join(plain), pos - len(reader.unused_data), ""
+
+
+def _member(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int, str]:
+    """Records that pass in the gzip member at ``at``, the end of its bytes and the first failed check."""
+    plain, end, why = _inflated(data, at)
+    # A wrong checksum may mean any byte; then a record without a digest of its own is not sure.
+    unsure = "data check" in why
     found, pos = [], 0
     while pos < len(plain):
-        headers, payload, pos = _record(plain, pos)
-        found.append((headers, payload))
-    return found, len(data) - len(reader.unused_data)
+        try:
+            headers, payload, end_of = _record(plain, pos)
+            if unsure and not headers.get("warc-payload-digest", "").startswith("sha256:"):
+                raise Damaged(why)
+            found.append((headers, payload))
+            pos = end_of
+        except Damaged as e:
+            why = why or str(e)
+            following = _LINE.search(plain, pos + 1)
+            pos = following.start() if following else len(plain)
+    return found, end, why
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", offset, length, headers, payload) and ("gap", offset, length, reason) in file order.
 
     After a failed check the search goes on behind the failed version line or gzip magic for the next
-    one; bytes up to the next record that passes its checks are one gap. Together the rows cover the
-    file without overlap.
+    one; bytes up to the next record that passes its checks are one gap. The records of a gzip member
+    share its bytes; those of a damaged one the bytes read before the damage, and the rest is a gap,
+    of length 0 where the damage is inside a member that inflates as a whole. Apart from members
+    shared by their records, the rows cover the file without overlap.
     """
     at, gap, why = 0, None, ""
+    broken: list[tuple[int, int, list, str]] = []
+
+    def lost(stop: int) -> Iterator[tuple]:
+        """Rows from ``gap`` to ``stop``: what damaged members gave, and gaps."""
+        pos, reason = gap, why
+        for k, (start, end, found, fault) in enumerate(broken):
+            if pos < start:
+                yield "gap", pos, start - pos, reason
+            end = min(end, broken[k + 1][0] if k + 1 < len(broken) else stop)
+            for headers, payload in found:
+                yield "record", start, end - start, headers, payload
+            pos, reason = end, fault
+        if pos < stop or broken:
+            yield "gap", pos, stop - pos, reason
+
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b", at):
-                found, end = _member(data, at)
+                found, end, fault = _member(data, at)
+                if fault and found and not fault.startswith("gzip"):
+                    if gap is not None:
+                        yield from lost(at)
+                        gap, broken = None, []
+                    for headers, payload in found:
+                        yield "record", at, end - at, headers, payload
+                    yield "gap", end, 0, fault
+                    at = end
+                    continue
+                if fault:
+                    if found:
+                        broken.append((at, end, found, fault))
+                    raise Damaged(fault)
             elif data.startswith(b"WARC/", at):
                 headers, payload, end = _record(data, at)
                 found = [(headers, payload)]
@@ -104,13 +169,13 @@ def salvage(data: bytes) -> Iterator[tuple]:
             at = following.start() if following else len(data)
             continue
         if gap is not None:
-            yield "gap", gap, at - gap, why
-            gap = None
+            yield from lost(at)
+            gap, broken = None, []
         for headers, payload in found:
             yield "record", at, end - at, headers, payload
         at = end
     if gap is not None:
-        yield "gap", gap, len(data) - gap, why
+        yield from lost(len(data))
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -93,6 +93,38 @@ def test_salvage_recovers_later_records():
             assert at == len(b"".join(data))
 
 
+def salvaged(data):
+    rows = list(warc.salvage(data))
+    return [int(r[3]["warc-record-id"][3:-1]) for r in rows if r[0] == "record"], [r for r in rows if r[0] == "gap"]
+
+
+def test_salvage_keeps_what_passes_around_damage(spark):
+    rng = random.Random(7)
+    raw = [record(k, bytes(rng.randrange(256) for _ in range(3000))) for k in range(60)]
+    # A header of more than 1 MiB.
+    rows = [(1, "http://a/" + "x" * (2 << 20), "long url", 1), (2, "u", "other", 1)]
+    path = new_folder(spark, "archives")
+    warc.write_warc(spark.createDataFrame(rows, PAGES), path)
+    records = warc.read_warc(spark, path)
+    assert sorted(r.page_id for r in warc.page_records(records).collect()) == [1, 2] and records.where("kind = 'gap'").count() == 0
+    # One member of many records: one of them bad, the member cut, a byte of the stream hurt.
+    bad = [*raw[:20], raw[20].replace(b"sha256:", b"sha256:0"), *raw[21:]]
+    ids, gaps = salvaged(gzip.compress(b"".join(bad)) + gzip.compress(raw[0]))
+    assert ids == [*range(20), *range(21, 60), 0] and [g[2:] for g in gaps] == [(0, "payload digest differs")]
+    whole = gzip.compress(b"".join(raw))
+    for after in (b"", gzip.compress(raw[59])):
+        cut = whole[: len(whole) // 2]
+        ids, gaps = salvaged(cut + after)
+        n = len(ids) - bool(after)
+        assert ids == [*range(n), *([59] if after else [])] and 28 <= n <= 30 and len(gaps) == 1
+    hurt = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    ids, gaps = salvaged(hurt)
+    assert ids == list(range(60)) and len(gaps) == 1
+    # A record cut inside its payload, and the next one at once behind it.
+    ids, gaps = salvaged(record(1, b"cut" * 100)[:-100] + record(2, b"intact") + record(3, b"too"))
+    assert ids == [2, 3] and len(gaps) == 1
+
+
 def brute_url(url):
     host, path = "", ""
     if url and "://" in url:
