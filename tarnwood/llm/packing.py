@@ -123,14 +123,15 @@ def find_pieces(data: np.ndarray, offsets: np.ndarray) -> Words:
 class WordEncoder:
     """Ids of texts for a tokenizer that lower-cases and never joins across white space.
 
-    Each piece is encoded once and kept, up to a fixed number of pieces.
+    Each piece is encoded once and kept, up to a fixed number of pieces. Rows that hold the text of an
+    added token, which the tokenizer matches before it cuts, are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [lowered(np.frombuffer(t.content.encode(), np.uint8)).tobytes() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = self._ids([_BREAK])[0]
         self._clear()
 
@@ -174,7 +175,8 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows, and where each row's ids begin."""
-        pieces = find_pieces(lowered(data), offsets)
+        low = lowered(data)
+        pieces = find_pieces(low, offsets)
         keys, first, back = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
         if not len(keys):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -188,7 +190,24 @@ class WordEncoder:
         size, begin = self.size[at][back].astype(np.int64), self.at[at][back]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(begin - (ends - size), size) + np.arange(int(size.sum()))]
-        return flat, np.concatenate([[0], ends])[pieces.first]
+        first = np.concatenate([[0], ends])[pieces.first]
+        whole = self._with_added(low, offsets)
+        if not len(whole):
+            return flat, first
+        parts = np.split(flat, first[1:-1])
+        for k in whole.tolist():
+            parts[k] = self._ids([data[offsets[k] : offsets[k + 1]].tobytes().decode()])
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _with_added(self, low: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows that hold an added token's text, in any case."""
+        raw, at = low.tobytes(), []
+        for text in self.added:
+            pos = raw.find(text)
+            while pos >= 0:
+                at.append(pos)
+                pos = raw.find(text, pos + 1)
+        return np.unique(np.searchsorted(offsets, np.array(at, np.int64), side="right") - 1)
 
 
 @functools.lru_cache(maxsize=2)

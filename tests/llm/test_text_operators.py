@@ -134,6 +134,22 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), path).count() == 0
 
 
+def test_packing_of_added_tokens(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["one <|endoftext|> two", "plain text", "", None, "A<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> x <|endoftext|", "<|end", "oftext|> é", "again <|endoftext|>\n<|endoftext|> Ü"]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [637, 49407, 1237]
+    pieces = packing.pack_documents(spark.createDataFrame([(i, t, "", 0, "") for i, t in enumerate(texts)], SCHEMA).coalesce(1), path, window=1 << 12).collect()
+    found = collections.defaultdict(list)
+    for p in pieces:
+        found[p.doc_id].append(p)
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        assert sum(p.length for p in found[i]) == len(ids)
+        for p in found[i]:
+            assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[p.start : p.start + p.length]))
+
+
 def test_level_packer_places_by_sum_of_squares():
     packer = packing.LevelPacker(16)
     for k, size in enumerate([10, 10, 6, 3, 16, 40]):
