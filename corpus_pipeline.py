@@ -22,10 +22,18 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id."""
-    groups = jaccard.jaccard_components(docs)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents linked by five-word shingles at 80 % one row, that of the smallest doc_id.
+
+    Rows are told apart by numbers of their own, so rows that repeat a doc_id or have none are
+    compared like all others; a null doc_id comes last. Texts without words stay.
+    """
+    rows = written(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = written(jaccard.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80).where("doc_id <> component_id").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")), "near-copies")
+    tops = groups.select(F.col("_group").alias("_row"), "_group").distinct()
+    members = rows.select("_row", "doc_id").join(groups.union(tops), "_row")
+    kept = members.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("k")).select("k._row")
+    gone = written(members.select("_row").join(kept, "_row", "left_anti"), "gone")
+    return rows.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

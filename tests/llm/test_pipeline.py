@@ -96,3 +96,15 @@ def test_stages(spark, tmp_path):
             assert p["offset"] == ends
             ends += p["length"]
         assert ends <= 4096
+
+
+def test_near_copies_at_the_edge_and_repeated_rows(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    edit = lambda t, *at: " ".join("edited%d" % k if k in at else w for k, w in enumerate(t.split()))
+    edge, under, again, none, mixed = text(49), text(48), text(60), text(60), text(60)
+    rows = [(1, edge), (2, edit(edge, 20)), (3, under), (4, edit(under, 20)), (5, again), (5, again), (5, again)]
+    rows += [(None, none), (None, none), (None, mixed), (6, mixed), (7, text(60)), (7, text(60)), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left) == sorted([(0, none), (1, edge), (3, under), (4, edit(under, 20)), (5, again), (6, mixed), *((i, t or "") for i, t in rows[-4:])])
