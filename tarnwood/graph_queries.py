@@ -20,7 +20,7 @@ _CAUSES = """lk AS (
     UNION SELECT ingress_net, ingress_seq, 'bridge', egress_net, egress_seq FROM v_causal_cross
     UNION SELECT ingress_net, ingress_seq, 'signal', egress_net, egress_seq FROM v_causal_signals
     UNION SELECT a.net, a.seq, 'process', a.net, MAX(b.seq) FROM v_causal_events a JOIN v_causal_tags p ON p.token = 't' || a.seq JOIN v_causal_tags q ON q.process = p.process JOIN v_causal_tokens b ON b.token = q.token AND b.role = 'produced' AND b.net = a.net AND b.seq < a.seq
-      JOIN v_causal_events e ON e.seq = b.seq WHERE a.kind = 'TokenCreated' AND a.seq NOT IN (SELECT ingress_seq FROM v_causal_cross) AND a.seq NOT IN (SELECT ingress_seq FROM v_causal_signals) AND NOT (e.kind = 'TokenCreated' AND starts_with(b.place, 'sig_')) GROUP BY a.net, a.seq)"""
+      JOIN v_causal_events e ON e.seq = b.seq WHERE a.kind = 'TokenCreated' AND a.seq NOT IN (SELECT ingress_seq FROM v_causal_cross) AND a.seq NOT IN (SELECT ingress_seq FROM v_causal_signals) AND NOT (e.kind = 'TokenCreated' AND b.place LIKE 'sig_%') GROUP BY a.net, a.seq)"""
 
 
 def _causes(spark, sf_dir):

@@ -26,3 +26,9 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def larger_sf():
+    """The scale at which the twins are compared outside these tests too."""
+    return "/root/testdata/sf0.01"

@@ -20,20 +20,19 @@ def rows_of(columns, rows):
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=str)
 
 
-@pytest.fixture(scope="module")
-def duck(sf):
+def duck_over(folder):
     con = duckdb.connect()
-    for f in os.listdir(sf):
-        con.execute(f"create view {f[:-8]} as select * from '{sf}/{f}'")
+    for f in os.listdir(folder):
+        con.execute(f"create view {f[:-8]} as select * from '{folder}/{f}'")
     return con
 
 
 @pytest.mark.parametrize("name", sorted(catalog_queries.QUERIES))
-def test_query(spark, sf, duck, name):
-    got = catalog_queries.QUERIES[name](spark, sf)
+def test_query(spark, larger_sf, name):
+    got = catalog_queries.QUERIES[name](spark, larger_sf)
     rows = [tuple(r) for r in got.collect()]
     if name in catalog_queries.ORACLE_SQL:
-        want = duck.execute(catalog_queries.ORACLE_SQL[name])
+        want = duck_over(larger_sf).execute(catalog_queries.ORACLE_SQL[name])
         columns = [c[0] for c in want.description]
         assert sorted(columns) == sorted(got.columns)
         assert rows_of(got.columns, rows) == rows_of(columns, want.fetchall())
