@@ -40,7 +40,7 @@ def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import zlib
 import corpus_pipeline
 from tarnwood.llm.entries import tokenizer_path
 from tarnwood.llm.mixing import targets
-from tests.llm.test_text_operators import LOWER, brute_quality, find_components, luhn, words
+from tests.llm.test_text_operators import brute_components, brute_quality, luhn, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,11 +22,6 @@ def brute_kept(t):
     )
 
 
-def shingles(t):
-    w = words(t.translate(LOWER))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
-
-
 def documents():
     rng = random.Random(9)
     vocab = [f"{a}{b}" for a in ("lorem", "ipsum", "dolor", "sit", "amet") for b in range(60)]
@@ -52,9 +47,7 @@ def test_stages(spark, tmp_path):
     good = sorted(found["quality_rules"])
     assert good == [r for r in rows if brute_kept(r[1] or "")] and 50 < len(good) < len(rows)
 
-    sets = [shingles(r[1]) for r in good]
-    links = [(a, b) for a in range(len(good)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    top = find_components(len(good), links)
+    _, top = brute_components([r[1] for r in good], 5, 80)
     single = sorted(found["jaccard_join"])
     assert single == [r for k, r in enumerate(good) if top[k] == k] and len(single) < len(good)
 

@@ -52,21 +52,45 @@ def find_components(n, links):
     return [top(x) for x in range(n)]
 
 
-def test_jaccard_components(spark):
+def shingle_set(t, width):
+    w = words((t or "").translate(LOWER))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+def brute_components(texts, width, percent):
+    """Index of the smallest linked row of each row."""
+    sets = [shingle_set(t, width) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    return [len(s) for s in sets], find_components(len(sets), links)
+
+
+def test_jaccard_components(spark, monkeypatch):
     rows = corpus()
-    sets = []
-    for r in rows:
-        w = words((r[1] or "").translate(LOWER))
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set()))
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    want = find_components(len(rows), links)
-    for group in (1 << 20, 100):
-        jaccard._GROUP_SHINGLES = group
-        got = {r.doc_id: r for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    long = " ".join(f"Word{i * 7919 % 50021}" for i in range(300_000))  # beyond what one array call takes
+    rows += [(len(rows), long, "", 0, ""), (len(rows) + 1, long[9:-9], "", 0, "")]
+    sizes, want = brute_components([r[1] for r in rows], 4, 85)
+    for group, tile in ((1 << 20, (2048, 65536)), (100, (5, 9))):
+        monkeypatch.setattr(jaccard, "_GROUP_SHINGLES", group)
+        monkeypatch.setattr(jaccard, "_TILE_ROWS", tile)
+        got = {r.doc_id: r for r in jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA), width=4, percent=85).collect()}
         assert [got[i].component_id for i in range(len(rows))] == want
-        assert [got[i].n_shingles for i in range(len(rows))] == [len(s) for s in sets]
-    jaccard._GROUP_SHINGLES = 1 << 20
-    assert len(set(want)) < len(want) - 8
+        assert [got[i].n_shingles for i in range(len(rows))] == sizes
+    assert len(set(want)) < len(want) - 8 and want[-1] == len(rows) - 2
+
+
+def test_jaccard_compares_rows_not_ids(spark):
+    """Null and repeated ids, in every order of the rows."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(90))
+    t, u, v, none = text(), text(), text(), text()
+    near = lambda x: x.replace(x.split()[40], "edited")
+    rows = [(None, t), (5, t), (7, t), (9, near(t)), (1, v), (1, u), (2, near(v)), (3, near(u)), (None, none), (None, near(none)), (1, v), (None, None), (None, ""), (4, ""), (6, "A b"), (8, "a B")]
+    for order in (rows, rows[::-1], rng.sample(rows, len(rows))):
+        sizes, top = brute_components([x for _, x in order], 4, 85)
+        ids = [[i for k, (i, _) in zip(top, order) if k == c and i is not None] for c in top]
+        want = sorted((i or -1, n, min(c) if c else -1) for (i, _), n, c in zip(order, sizes, ids))
+        got = jaccard.jaccard_components(spark.createDataFrame(order, "doc_id long, text string").repartition(3), width=4, percent=85).collect()
+        assert sorted((r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
 
 
 def test_jaccard_empty(spark):
