@@ -32,14 +32,30 @@ def test_near_vectors(spark):
     for a, b in links:
         counts[a] += 1
         counts[b] += 1
-    for block, sub in ((8192, 512), (40, 16)):
-        vectors._BLOCK, vectors._SUB_A = block, sub
-        got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, n_links int")).collect()}
+    for block, sub, real in ((None, (512, 2048), "float"), (40, (16, 7), "double")):
+        got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{real}>, n_links int"), block=block, sub=sub).collect()}
         assert [got[i].component_id for i in range(len(rows))] == want
         assert [got[i].n_links for i in range(len(rows))] == counts
         assert all(got[i].kept == (want[i] == i) for i in range(len(rows)))
-    vectors._BLOCK, vectors._SUB_A = 8192, 512
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    # Null and repeated ids, ties at the threshold.
+    odd = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (4, [-1.0, 0.0]), (4, [0.0, -1.0]), (7, [-2.0, 0.0]), (3, [-1.0, 0.1])]
+    got = vectors.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got.collect()) == [(0, 0, 0, True), (0, 1, 0, False), (0, 1, 0, False), (3, 2, 3, True), (4, 0, 4, True), (4, 2, 3, False), (7, 2, 3, False)]
+
+
+def test_blocks_bound_every_link(spark):
+    """Vectors in few dimensions, where most block pairs fall out, against all pairs."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(1500, 3)) + np.array([0.3, 0, 0])
+    rows = [(i, v.tolist()) for i, v in enumerate(m)]
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.999).sum(axis=1) - 1
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), least=0.999, block=20).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == links.tolist() and links.sum() > 500
+    tree = vectors.Blocks.fit(vectors._points(unit, np.eye(3)), 64)
+    counts = np.bincount(tree.place(vectors._points(unit, np.eye(3))), minlength=64)
+    assert counts.sum() == 1500 and counts.max() < 40
 
 
 PAGES = "page_id long, url string, html string, record_type int"
