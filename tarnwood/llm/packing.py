@@ -2,10 +2,12 @@
 
 Every task packs the documents it reads, in order, and keeps one number per fill level: how many
 windows stand at that level. A document longer than a window is cut into full windows and a rest;
-the rest goes to the level where the sum of squared counts grows least. When a task's input ends,
-what stands in partly filled windows is cut anew into full windows, and the last remainder into
-windows whose lengths are powers of two, which need no padding. Nothing is shuffled, so no source or
-group of copies can gather in one task.
+the rest goes to the level where the sum of squared counts grows least. What a task leaves in partly
+filled windows goes on to a second round, in which the pieces of a few tasks at a time are placed in
+the same way. Only what that leaves open is closed by cutting: the fullest windows stay and are
+filled up from the emptiest, and the last remainder goes into windows whose lengths are powers of
+two, which need no padding. No source or group of copies can gather in one task: tasks are put
+together by their numbers.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwood.llm.shared import in_small_batches
+from tarnwood.llm.shared import in_small_batches, written
 from tarnwood.llm.tokens import Words, find_words, lowered, slices
 
 PIECES = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
+    [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("recut", T.BooleanType())]
 )
+_OPEN = T.StructType([*PIECES.fields, T.StructField("round", T.LongType()), T.StructField("ids", T.BinaryType())])
 _MOST_CACHED = 1_000_000
+_TASKS = 8
+
+
+class Piece(NamedTuple):
+    """Part of a document: its ids from ``start``, of ``total`` in the document."""
+
+    doc_id: int | None
+    start: int
+    total: int
+    ids: np.ndarray
+    recut: bool = False
+
+    def cut(self, size: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc_id, self.start, self.total, self.ids[:size], True), Piece(self.doc_id, self.start + size, self.total, self.ids[size:], True)
 
 
 class LevelPacker:
@@ -36,20 +54,14 @@ class LevelPacker:
     def __init__(self, window: int):
         self.window = window
         self.count = np.zeros(window + 1, dtype=np.int64)
-        self.open: dict[int, list[list]] = {}
-        self.done: list[list] = []
-
-    def add(self, doc: int, size: int) -> None:
-        """Pieces are (doc, start, length); ``doc`` is the caller's number for the document."""
-        at = 0
-        while size - at >= self.window:
-            self.done.append([(doc, at, self.window)])
-            at += self.window
-        if rest := size - at:
-            self._place((doc, at, rest))
-
-    def _place(self, piece: tuple[int, int, int]) -> None:
-        size, full = piece[2], self.window
+        self.open: dict[int, list[list[Piece]]] = {}
+
+    def place(self, piece: Piece) -> list[Piece] | None:
+        """Puts a piece shorter than a window where it fits best; the window's pieces once it is full.
+
+        Of levels that are equally good the emptiest is taken.
+        """
+        size, full = len(piece.ids), self.window
         count = self.count
         # Growth of the sum of squares when a window goes from level h to h + size; a full one leaves.
         growth = 2 * (count[size : full + 1] - count[: full + 1 - size]) + 2
@@ -57,44 +69,58 @@ class LevelPacker:
         growth[-1] = 1 - 2 * count[full - size]
         growth[1:][count[1 : full + 1 - size] == 0] = np.iinfo(np.int64).max
         level = int(np.argmin(growth))
+        held = []
         if level:
             held = self.open[level].pop()
             count[level] -= 1
-        else:
-            held = []
         held.append(piece)
         level += size
         if level == full:
-            self.done.append(held)
-        else:
-            count[level] += 1
-            self.open.setdefault(level, []).append(held)
-
-    def take_full(self) -> list[list]:
-        out, self.done = self.done, []
-        return out
-
-    def finish(self) -> list[list]:
-        """Full windows cut from all that is open, then windows of power-of-two lengths."""
-        line = [p for level in sorted(self.open, reverse=True) for held in self.open[level] for p in held]
-        self.open, self.count[:] = {}, 0
-        left = sum(p[2] for p in line)
-        sizes = [self.window] * (left // self.window)
-        sizes += [1 << b for b in range(self.window.bit_length(), -1, -1) if (left % self.window) >> b & 1]
-        out, at = [], 0
-        for size in sizes:
-            held = []
-            while size:
-                doc, start, length = line[at]
-                cut = min(size, length)
-                held.append((doc, start, cut))
-                size -= cut
-                if cut == length:
-                    at += 1
-                else:
-                    line[at] = (doc, start + cut, length - cut)
-            out.append(held)
-        return out
+            return held
+        count[level] += 1
+        self.open.setdefault(level, []).append(held)
+        return None
+
+    def left(self) -> list[list[Piece]]:
+        """The windows still open, fullest first."""
+        return [held for level in sorted(self.open, reverse=True) for held in self.open[level]]
+
+
+def close_windows(windows: list[list[Piece]], window: int) -> list[list[Piece]]:
+    """Full windows of ``windows`` (fullest first), filled up from the emptiest, and power-of-two ones of the rest."""
+    out, at, end, loose = [], 0, len(windows), []
+    while at < end:
+        held, room = list(windows[at]), window - sum(len(p.ids) for p in windows[at])
+        at += 1
+        while room:
+            if not loose:
+                if at == end:
+                    break
+                end -= 1
+                loose = [p._replace(recut=True) for p in reversed(windows[end])]
+            piece = loose.pop()
+            if len(piece.ids) > room:
+                piece, rest = piece.cut(room)
+                loose.append(rest)
+            held.append(piece)
+            room -= len(piece.ids)
+        out.append(held)
+    # Either pieces are left over or the last window is short, never both.
+    line = loose
+    if out and sum(len(p.ids) for p in out[-1]) < window:
+        line = [p._replace(recut=True) for p in reversed(out.pop())]
+    left = sum(len(p.ids) for p in line)
+    for size in (1 << b for b in range(window.bit_length(), -1, -1) if left >> b & 1):
+        held = []
+        while size:
+            piece = line.pop()
+            if len(piece.ids) > size:
+                piece, rest = piece.cut(size)
+                line.append(rest)
+            held.append(piece)
+            size -= len(piece.ids)
+        out.append(held)
+    return out
 
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -216,48 +242,71 @@ def encoder_for(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _rows(held: list[Piece], sequence: int, again: int | None = None) -> list[tuple]:
+    """Result rows of one window; with ``again`` those of an open one, for that group of the second round."""
+    out, offset = [], 0
+    for p in held:
+        raw = p.ids.tobytes()
+        out.append((p.doc_id, p.start, len(p.ids), zlib.crc32(raw), p.total, sequence, offset, p.recut, again, raw if again is not None else None))
+        offset += len(p.ids)
+    return out
+
+
+def _batch(rows: list[tuple], fields: list[T.StructField]) -> pa.RecordBatch:
+    kinds = {T.LongType(): pa.int64(), T.BooleanType(): pa.bool_(), T.BinaryType(): pa.binary()}
+    columns = list(zip(*rows)) if rows else [()] * len(_OPEN.fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[f.dataType]) for c, f in zip(columns, fields)], names=[f.name for f in fields])
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, recut.
 
     A document is its ids followed by ``end_id``; a null or empty text is ``end_id`` alone. Repeated
-    rows are packed once each. Other columns are ignored. An empty table gives an empty table.
-    ``sequence_id`` holds the task's partition in its high bits, so a rerun of a lost task over the
-    same files gives the same rows.
+    rows are packed once each and share their doc_id; a null doc_id stays null. The ids of one text
+    are held whole, however long it is; of documents in open windows only the piece that is there.
+    ``recut`` marks pieces that were moved to close the last open windows: a few in a hundred for
+    some thousand documents a task, fewer for more. There is no padding. Other columns are ignored.
+    An empty table gives an empty table. ``sequence_id`` holds the task's or the round's number in its
+    high bits, so a rerun of a lost task over the same files gives the same rows.
     """
-    fields = [f.name for f in PIECES.fields]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(tokenizer)
-        packer, waiting = LevelPacker(window), {}
-        sequence, number = TaskContext.get().partitionId() << 36, 0
-
-        def rows(windows: list[list]) -> pa.RecordBatch:
-            nonlocal sequence
-            out: list[tuple] = []
-            for held in windows:
-                offset = 0
-                for doc, start, length in held:
-                    entry = waiting[doc]
-                    crc = zlib.crc32(entry[1][start : start + length].tobytes())
-                    out.append((entry[0], start, length, crc, entry[2], sequence, offset))
-                    offset += length
-                    entry[3] -= length
-                    if not entry[3]:
-                        del waiting[doc]
-                sequence += 1
-            columns = list(zip(*out)) if out else [[]] * len(fields)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=fields)
-
+        packer, task = LevelPacker(window), TaskContext.get().partitionId()
+        sequence, out = task << 36, []
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for low, high, data, offsets in slices(batch.column(1)):
                 flat, first = encoder.encode(data, offsets)
                 for k in range(low, high):
                     ids = np.append(flat[first[k - low] : first[k - low + 1]], np.uint32(end_id)).astype("<u4")
-                    waiting[number] = [doc_ids[k], ids, len(ids), len(ids)]
-                    packer.add(number, len(ids))
-                    number += 1
-                yield rows(packer.take_full())
-        yield rows(packer.finish())
-
-    return in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, PIECES)
+                    for at in range(0, len(ids), window):
+                        piece = Piece(doc_ids[k], at, len(ids), ids[at : at + window].copy())
+                        held = [piece] if len(piece.ids) == window else packer.place(piece)
+                        if held:
+                            out += _rows(held, sequence)
+                            sequence += 1
+                yield _batch(out, _OPEN.fields)
+                out = []
+        for held in packer.left():
+            out += _rows(held, sequence, task // _TASKS)
+            sequence += 1
+        for at in range(0, len(out), 1000):
+            yield _batch(out[at : at + 1000], _OPEN.fields)
+
+    def finish(key: tuple, table: pa.Table) -> pa.Table:
+        number = key[0].as_py()
+        packer, sequence, out = LevelPacker(window), (1 << 62) + (number << 36), []
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        ids, start, total, raw = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))
+        full = [held for i in range(len(ids)) if (held := packer.place(Piece(ids[i], start[i], total[i], np.frombuffer(raw[i], "<u4"))))]
+        for held in full + close_windows(packer.left(), window):
+            out += _rows(held, sequence)
+            sequence += 1
+        return pa.Table.from_batches([_batch(out, PIECES.fields)])
+
+    rows = in_small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    placed = written(rows.mapInArrow(pack, _OPEN), "windows")
+    names = [f.name for f in PIECES.fields]
+    again = placed.where("round is not null").groupBy("round").applyInArrow(finish, PIECES)
+    return placed.where("round is null").select(*names).union(again)
