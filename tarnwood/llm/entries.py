@@ -12,10 +12,6 @@ from tarnwood.llm import jaccard, mixing, packing, pii, pitman_yor, quality, quo
 from tarnwood.llm.oracles import ORACLE_SQL as _ORACLES
 from tarnwood.llm.shared import new_folder, table, written
 
-#: In production the key comes from a secret store; results for one key are stable.
-PII_KEY = "corpus-pseudonyms-1"
-
-
 def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,7 +51,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY)
+    return pii.pseudonymise(docs, pii.key_of(spark))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

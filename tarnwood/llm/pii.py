@@ -1,15 +1,34 @@
 """Format-preserving Feistel pseudonyms for personal data, with DataFrame functions only.
 
-Values are found by pattern, validated, and permuted by a keyed Feistel network over the characters
-of their own classes (digits to digits, letters to letters), so a card number stays a card number
-with a right check digit, a date a date, and equal values get equal pseudonyms in every document.
+Values are found by pattern, validated, and permuted by a keyed Feistel network: characters within
+their own classes (digits to digits, letters to letters), numbers with a range of their own (dates,
+social security numbers) by modular addition on their two parts, which never leaves the range. So a
+card number stays a card number with a right check digit, a date a date, and equal values get equal
+pseudonyms in every document. The key is data, a column from a table of one row: it stands in no
+plan, event log or user interface.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import secrets
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Its name makes Spark redact the value wherever it shows settings.
+KEY_SETTING = "spark.tarnwood.pii.secret"
+_MADE: dict[str, str] = {}
+
+
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's settings hold.
+
+    Where they hold none, a random one is made for the application: values are then linked within
+    its runs, not to those of other applications.
+    """
+    return spark.conf.get(KEY_SETTING, None) or _MADE.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 _EDGE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
 #: A time may follow a date, as in 2024-02-29T10:00:00Z.
@@ -36,18 +55,30 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _feistel(value: str, tweak: str, key: str, alphabets: tuple[str, ...]) -> str:
+def _shift(tweak: str, *parts: str) -> str:
+    """SQL for a number that the key, the kind of value and ``parts`` decide."""
+    return f"cast(conv(substring(sha2(concat_ws('|', _pii_key, {tweak}, {', '.join(parts)}), 256), 1, 12), 16, 10) as bigint)"
+
+
+def _feistel(value: str, tweak: str, alphabets: tuple[str, ...]) -> str:
     """SQL for a keyed permutation of the string ``value``; other characters stay in place."""
-    shift = f"cast(conv(substring(sha2(concat_ws('|', {_sql(key)}, {tweak}, length(s), r, i, if(r % 2 = 0, substring(s, h + 1), substring(s, 1, h))), 256), 1, 12), 16, 10) as bigint)"
+    half = "cast(length(s) div 2 as int)"
+    shift = _shift(tweak, "length(s)", "r", "i", f"if(r % 2 = 0, substring(s, {half} + 1), substring(s, 1, {half}))")
     turn = "c"
     for letters in alphabets:
         turn = f"if(locate(c, '{letters}') > 0, substring('{letters}', cast(pmod(locate(c, '{letters}') - 1 + {shift}, {len(letters)}) + 1 as int), 1), {turn})"
-    step = f"array_join(transform(split(s, ''), (c, i) -> if((i < h) = (r % 2 = 0), {turn}, c)), '')"
-    step = step.replace("h + 1", "length(s) div 2 + 1").replace(", h)", ", length(s) div 2)").replace("(i < h)", "(i < length(s) div 2)")
-    step = step.replace("substring(s, length(s) div 2 + 1)", "substring(s, cast(length(s) div 2 + 1 as int))").replace("substring(s, 1, length(s) div 2)", "substring(s, 1, cast(length(s) div 2 as int))")
+    step = f"array_join(transform(split(s, ''), (c, i) -> if((i < {half}) = (r % 2 = 0), {turn}, c)), '')"
     return f"aggregate(sequence(0, {_ROUNDS - 1}), {value}, (s, r) -> {step})"
 
 
+def _number(value: str, tweak: str, low: int, high: int) -> str:
+    """SQL for a keyed permutation of the numbers 0 to low * high - 1."""
+    left = f"if(r % 2 = 0, pmod(s.a + {_shift(tweak, 'r', 's.b')}, {low}L), s.a)"
+    right = f"if(r % 2 = 1, pmod(s.b + {_shift(tweak, 'r', 's.a')}, {high}L), s.b)"
+    start = f"named_struct('a', cast({value} div {high} as bigint), 'b', cast({value} % {high} as bigint))"
+    return f"aggregate(sequence(0, {_ROUNDS - 1}), {start}, (s, r) -> named_struct('a', {left}, 'b', {right}), s -> s.a * {high}L + s.b)"
+
+
 _DIGITS = "0123456789"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,10 +103,10 @@ def _day(value: str, form: str) -> str:
     return f"cast(try_to_timestamp({value}, '{form}') as date)"
 
 
-def pseudonym_sql(m: str, key: str) -> str:
+def pseudonym_sql(m: str) -> str:
     """SQL for what takes the place of a match; what fails its check stays as it is."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-    head = f"concat(substring(q, 1, 1), {_feistel('substring(q, 2, length(q) - 2)', "'card'", key, (_DIGITS,))})"
+    head = f"concat(substring(q, 1, 1), {_feistel('substring(q, 2, length(q) - 2)', "'card'", (_DIGITS,))})"
     card = _let(
         digits,
         "q",
@@ -83,32 +114,37 @@ def pseudonym_sql(m: str, key: str) -> str:
         + _let(head, "w", _refill(m, f"concat(w, cast((10 - {_luhn_sum('w')} % 10) % 10 as string))"))
         + f", {m})",
     )
-    # A known country code stays; the national digits are permuted, without a known code all digits.
+    # A known country code stays; the national digits are permuted, without a known code all digits,
+    # as those of North America, so that a number is linked to itself with and without its code.
     phone = _let(
         f"regexp_extract({m}, '^({_COUNTRY})', 1)",
         "p",
-        f"concat(p, {_let(f'substring({m}, length(p) + 1)', 'n', _refill('n', _feistel("regexp_replace(n, '[^0-9]', '')", 'p', key, (_DIGITS,))))})",
+        f"concat(p, {_let(f'substring({m}, length(p) + 1)', 'n', _refill('n', _feistel("regexp_replace(n, '[^0-9]', '')", "if(p = '', '+1', p)", (_DIGITS,))))})",
     )
-    ssn = f"if({m} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)', {_refill(m, _feistel(digits, "'ssn'", key, (_DIGITS,)))}, {m})"
-    email = f"concat({_feistel(f"substring_index({m}, '@', 1)", f"lower(substring_index({m}, '@', -1))", key, (_DIGITS, _LOWER, _LOWER.upper()))}, '@', substring_index({m}, '@', -1))"
+    # Areas 001-899 without 666, groups 01-99, serials 0001-9999: every number is a valid one.
+    area = f"(cast(substring({digits}, 1, 3) as bigint) - if(substring({digits}, 1, 3) > '666', 2, 1))"
+    number = f"(({area} * 99 + cast(substring({digits}, 4, 2) as bigint) - 1) * 9999 + cast(substring({digits}, 6) as bigint) - 1)"
+    spelt = "format_string('%03d-%02d-%04d', x div 989901 + if(x div 989901 >= 665, 2, 1), x div 9999 % 99 + 1, x % 9999 + 1)"
+    ssn = f"if({m} rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)', {_let(_number(number, "'ssn'", 898 * 99, 9999), 'x', spelt)}, {m})"
+    email = f"concat({_feistel(f"substring_index({m}, '@', 1)", f"lower(substring_index({m}, '@', -1))", (_DIGITS, _LOWER, _LOWER.upper()))}, '@', substring_index({m}, '@', -1))"
     # Upper case gets what lower case gets, in upper case; in mixed case each class stays within itself.
-    hexed = _let(_feistel(f"lower({m})", "'secret'", key, (_DIGITS + "abcdef",)), "x", f"if({m} rlike '[A-F]', upper(x), x)")
-    secret = f"if({m} rlike '[a-f]' and {m} rlike '[A-F]', {_feistel(m, "'secret'", key, (_DIGITS, "abcdef", "ABCDEF"))}, {hexed})"
+    hexed = _let(_feistel(f"lower({m})", "'secret'", (_DIGITS + "abcdef",)), "x", f"if({m} rlike '[A-F]', upper(x), x)")
+    secret = f"if({m} rlike '[a-f]' and {m} rlike '[A-F]', {_feistel(m, "'secret'", (_DIGITS, "abcdef", "ABCDEF"))}, {hexed})"
     # An address is four bytes: eight hexadecimal digits.
     packed = f"array_join(transform(split({m}, '[.]'), o -> lower(lpad(hex(cast(o as bigint)), 2, '0'))), '')"
-    ip = _let(_feistel(packed, "'ip'", key, (_DIGITS + "abcdef",)), "a", "array_join(transform(array(1, 3, 5, 7), b -> conv(substring(a, b, 2), 16, 10)), '.')")
-    # Days of 1900-2099 are numbered; numbers beyond the range are permuted again until they fall inside.
+    ip = _let(_feistel(packed, "'ip'", (_DIGITS + "abcdef",)), "a", "array_join(transform(array(1, 3, 5, 7), b -> conv(substring(a, b, 2), 16, 10)), '.')")
+    # Days of 1900-2099 are numbered: 73049 of them, one less than 150 * 487. That one more is permuted on,
+    # which ends inside: it can't be its own successor once another day has led to it.
     forms = f"case when {m} rlike '^[0-9]{{4}}-' then 'yyyy-MM-dd' when {m} like '%.%' then 'dd.MM.yyyy' when {_day(m, 'dd/MM/yyyy')} is null then 'MM/dd/yyyy' else 'dd/MM/yyyy' end"
-    number = f"lpad(cast(datediff(y, date'1900-01-01') as string), 5, '0')"
-    last = 73048
-    walk = f"aggregate(sequence(1, 40), z, (v, t) -> if(t > 1 and cast(v as int) <= {last}, v, {_feistel('v', "'date'", key, (_DIGITS,))}))"
+    day = "datediff(y, date'1900-01-01')"
+    walk = _let(_number(day, "'date'", 150, 487), "x", f"if(x = 73049, {_number('73049', "'date'", 150, 487)}, x)")
     date = _let(
         forms,
         "f",
         _let(
             f"case f when 'yyyy-MM-dd' then {_day(m, 'yyyy-MM-dd')} when 'dd.MM.yyyy' then {_day(m, 'dd.MM.yyyy')} when 'MM/dd/yyyy' then {_day(m, 'MM/dd/yyyy')} else {_day(m, 'dd/MM/yyyy')} end",
             "y",
-            f"if(y is null, {m}, {_let(number, 'z', f"date_format(date_add(date'1900-01-01', cast({walk} as int)), f)")})",
+            f"if(y is null, {m}, date_format(date_add(date'1900-01-01', cast({walk} as int)), f))",
         ),
     )
     made = {"email": email, "secret": secret, "date": date, "ip": ip, "phone": phone, "ssn": ssn, "card": card}
@@ -120,18 +156,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """``docs`` with personal data in ``text_col`` replaced and ``n_replaced`` int added.
 
     Covers e-mail addresses (the local part), payment cards (Luhn), telephone numbers, IPv4
-    addresses, US social security numbers, calendar dates and long hexadecimal secrets. A value that
-    fails its check stays. A null text stays null with ``n_replaced`` 0; an empty one stays empty.
-    Repeated rows come out alike. A column named ``n_replaced`` is replaced; an empty table gives an
-    empty table.
+    addresses, US social security numbers, calendar dates of 1900-2099 and long hexadecimal secrets.
+    A value that fails its check stays. A null text stays null with ``n_replaced`` 0; an empty one
+    stays empty; long ones are searched whole. Rows are treated alone, so repeated rows and null ids
+    come out alike. A column named ``n_replaced`` is replaced; an empty table gives an empty table.
     """
-    text = F.col(text_col)
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    spark, text = docs.sparkSession, F.col(text_col)
     worth = text.rlike("[0-9@]")
     found = F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    out = docs.drop("n_replaced").withColumn("_found", found)
-    some = F.size("_found") > 0
-    out = out.withColumn("_new", F.when(some, F.expr(f"transform(_found, m -> {pseudonym_sql('m', key)})")))
+    secret = F.broadcast(spark.createDataFrame([(key,)], "_pii_key string"))  # one row
+    out = docs.drop("n_replaced").withColumn("_pii_found", found).join(secret, F.lit(True))
+    some = F.size("_pii_found") > 0
+    out = out.withColumn("_pii_new", F.when(some, F.expr(f"transform(_pii_found, m -> {pseudonym_sql('m')})")))
     between = F.split(text, PATTERN, -1)
-    joined = F.array_join(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = F.expr("size(filter(sequence(1, size(_found)), i -> element_at(_found, i) <> element_at(_new, i)))")
-    return out.withColumns({text_col: F.when(some, joined).otherwise(text), "n_replaced": F.coalesce(F.when(some, changed), F.lit(0)).cast("int")}).drop("_found", "_new")
+    joined = F.array_join(F.zip_with(between, F.concat("_pii_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    changed = F.expr("size(filter(sequence(1, size(_pii_found)), i -> element_at(_pii_found, i) <> element_at(_pii_new, i)))")
+    return out.withColumns({text_col: F.when(some, joined).otherwise(text), "n_replaced": F.coalesce(F.when(some, changed), F.lit(0)).cast("int")}).drop("_pii_found", "_pii_new", "_pii_key")

@@ -1,12 +1,16 @@
 """Operators over documents against brute force in plain Python."""
 
 import collections
+import datetime
+import hashlib
 import math
 import random
 import re
 import zlib
 
 import public_tokenizers
+import pytest
+import regex
 from tokenizers import Tokenizer
 
 from tarnwood.llm import jaccard, mixing, packing, pii, pitman_yor, quality
@@ -279,6 +283,122 @@ def test_pseudonyms_of_all_forms(spark):
     assert new[5] == new[6].upper() and new[8] == new[9]
 
 
+DIGITS, SMALL = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+
+
+def shift(key, *parts):
+    return int(hashlib.sha256("|".join(map(str, (key, *parts))).encode()).hexdigest()[:12], 16)
+
+
+def brute_feistel(value, tweak, key, alphabets):
+    for r in range(8):
+        half = len(value) // 2
+        other = value[half:] if r % 2 == 0 else value[:half]
+        out = ""
+        for i, c in enumerate(value):
+            if (i < half) == (r % 2 == 0):
+                for letters in reversed(alphabets):
+                    if c in letters:
+                        c = letters[(letters.index(c) + shift(key, tweak, len(value), r, i, other)) % len(letters)]
+                        break
+            out += c
+        value = out
+    return value
+
+
+def brute_number(x, tweak, key, low, high):
+    a, b = divmod(x, high)
+    for r in range(8):
+        if r % 2 == 0:
+            a = (a + shift(key, tweak, r, b)) % low
+        else:
+            b = (b + shift(key, tweak, r, a)) % high
+    return a * high + b
+
+
+def refill(shape, digits):
+    left = iter(digits)
+    return "".join(next(left) if c in DIGITS else c for c in shape)
+
+
+CODES = ["1", "7", "20", "27", *"30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()]
+
+
+def brute_pseudonym(m, key):
+    """What takes the place of one match, after its kind is told by trying the kinds in order."""
+    kind = next(k for k, p in pii.KINDS.items() if regex.fullmatch(p, m))
+    digits = "".join(c for c in m if c in DIGITS)
+    if kind == "email":
+        local, domain = m.split("@")
+        return brute_feistel(local, domain.lower(), key, (DIGITS, SMALL, SMALL.upper())) + "@" + domain
+    if kind == "secret":
+        if m != m.lower() and m != m.upper():
+            return brute_feistel(m, "secret", key, (DIGITS, "abcdef", "ABCDEF"))
+        new = brute_feistel(m.lower(), "secret", key, (DIGITS + "abcdef",))
+        return new.upper() if m != m.lower() else new
+    if kind == "date":
+        for form in ("%Y-%m-%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"):
+            try:
+                at = datetime.datetime.strptime(m, form)
+            except ValueError:
+                continue
+            first = datetime.datetime(1900, 1, 1)
+            x = brute_number((at - first).days, "date", key, 150, 487)
+            return (first + datetime.timedelta(x if x < 73049 else brute_number(x, "date", key, 150, 487))).strftime(form)
+        return m
+    if kind == "ip":
+        new = brute_feistel("".join("%02x" % int(o) for o in m.split(".")), "ip", key, (DIGITS + "abcdef",))
+        return ".".join(str(int(new[i : i + 2], 16)) for i in range(0, 8, 2))
+    if kind == "phone":
+        code = ""
+        if m[0] == "+":
+            code = next((c for c in CODES if m[1:].startswith(c)), m[1:4] if m[1:4].isdigit() and m[1] != "1" else "")
+        rest = m[len(code) + 1 :] if code else m
+        return ("+" + code if code else "") + refill(rest, brute_feistel("".join(c for c in rest if c in DIGITS), "+" + (code or "1"), key, (DIGITS,)))
+    if kind == "ssn":
+        area, group, serial = map(int, m.split("-"))
+        if area in (0, 666) or area > 899 or not group or not serial:
+            return m
+        areas = [a for a in range(1, 900) if a != 666]
+        x = brute_number((areas.index(area) * 99 + group - 1) * 9999 + serial - 1, "ssn", key, 898 * 99, 9999)
+        return "%03d-%02d-%04d" % (areas[x // 9999 // 99], x // 9999 % 99 + 1, x % 9999 + 1)
+    if not luhn(digits):
+        return m
+    new = digits[0] + brute_feistel(digits[1:-1], "card", key, (DIGITS,))
+    return refill(m, new + next(c for c in DIGITS if luhn(new + c)))
+
+
+def test_pseudonyms_against_another_feistel(spark, sf):
+    """Whole documents, and many numbers of each kind, against plain Python."""
+    rng = random.Random(12)
+    n = lambda k: "".join(rng.choice(DIGITS) for _ in range(k))
+    odd = [f"{n(3)}-{n(2)}-{n(4)}" for _ in range(600)] + [f"{rng.choice(['+1 ', '+1-', ''])}{n(3)}-{n(3)}-{n(4)}" for _ in range(200)]
+    odd += ["+1 293 555 9179", "293-555-9179", "(293) 555-9179", "2099-12-31", "1900-01-01", "29.02.1900", "29.02.2000", "12/31/2001", "31/12/2001", "12/11/2001"]
+    odd += [f"{n(4)} {n(4)} {n(4)} {n(4)}" for _ in range(200)] + [".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(50)]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + odd + ["x " * 1_200_000 + odd[0]]
+    got = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "a key").orderBy("doc_id").collect()
+    changed = 0
+    for before, after in zip(texts, got):
+        replaced = []
+        want = regex.sub(pii.PATTERN, lambda m: replaced.append((m[0], brute_pseudonym(m[0], "a key"))) or replaced[-1][1], before) if before else before
+        assert after.text == want and after.n_replaced == sum(a != b for a, b in replaced)
+        changed += after.n_replaced
+    assert changed > 800
+    same = [got[texts.index(t)].text for t in ("+1 293 555 9179", "293-555-9179", "(293) 555-9179")]
+    assert len({"".join(c for c in t if c in DIGITS)[-10:] for t in same}) == 1
+    # All valid numbers stay valid, and no two come together.
+    valid = {t: g.text for t, g in zip(texts, got) if regex.fullmatch(r"\d{3}-\d\d-\d{4}", t or "") and t[:3] not in ("000", "666") and t[0] != "9" and "-00-" not in t and t[-4:] != "0000"}
+    assert len(set(valid.values())) == len(valid) > 400 and all(v[:3] not in ("000", "666") and v[0] != "9" and "-00-" not in v and v[-4:] != "0000" for v in valid.values())
+
+
+def test_the_key_is_not_in_the_plan(spark):
+    made = pii.pseudonymise(spark.createDataFrame([(1, "2024-02-29")], "doc_id long, text string"), "a key that nobody sees")
+    assert "nobody" not in made._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        pii.pseudonymise(made, "")
+    assert pii.key_of(spark) == pii.key_of(spark) != ""
+
+
 def test_language_model(spark):
     rng = random.Random(5)
     follow = {a: [rng.choice("abcdefghij") for _ in range(2)] for a in "abcdefghij"}
