@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwood.llm import jaccard, mixing, packing, pii, quality
-from tarnwood.llm.entries import PII_KEY, tokenizer_path
+from tarnwood.llm.entries import tokenizer_path
 from tarnwood.llm.shared import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,7 +38,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms; n_chars follows the new text."""
-    return pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return pii.pseudonymise(docs, pii.key_of(spark)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
