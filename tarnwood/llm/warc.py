@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -12,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwood.llm.shared import written
+from tarnwood.llm.shared import in_small_batches, written
 
 END = b"\r\n\r\n"
 _LINE = re.compile(rb"WARC/\d\.\d\r?\n")
 _VERSION = re.compile(rb"WARC/\d\.\d\r?\n|\x1f\x8b\x08")
-_CHUNK = 1 << 16
+_CHUNK, _STEP, _HELD = 1 << 16, 1 << 20, 8 << 20
+#: A gzip member of nothing; it ends each record's own member.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+_LONGEST_LINE = len(b"WARC/1.1\r\n")
 _PAGE = "urn:tarnwood:page:"
 
 RECORDS = T.StructType(
@@ -40,21 +44,31 @@ class Damaged(ValueError):
     """A member or record that fails a check."""
 
 
-def _record(data: bytes, at: int) -> tuple[dict, bytes, int]:
+class Short(Damaged):
+    """Data that ends before a check; ``need`` bytes would be enough to go on."""
+
+    def __init__(self, why: str, need: int):
+        super().__init__(why)
+        self.need = need
+
+
+def _record(data: bytes | bytearray, at: int) -> tuple[dict, bytes, int]:
     """Headers, payload and end of the record at ``at``; every check it fails raises Damaged."""
     version = _LINE.match(data, at)
     if not version:
+        if len(data) - at < _LONGEST_LINE and data[at : at + 5] == b"WARC/"[: len(data) - at]:
+            raise Short("no header", at + _LONGEST_LINE)
         raise Damaged("no header")
     headers, begin = {}, version.end()
     while True:
         stop = data.find(b"\n", begin)
         if stop < 0:
-            raise Damaged("no header")
+            raise Short("no header", len(data) + 1)
         line = data[begin:stop].strip()
         begin = stop + 1
         if not line:
             break
-        name, colon, value = line.partition(b":")
+        name, colon, value = bytes(line).partition(b":")
         if not colon:
             raise Damaged("malformed header line")
         headers[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
@@ -63,56 +77,113 @@ def _record(data: bytes, at: int) -> tuple[dict, bytes, int]:
         raise Damaged("no content length")
     end = begin + int(length)
     if data[end : end + 4] != END:
-        raise Damaged("record does not end where its length says")
-    payload = data[begin:end]
+        why = "record does not end where its length says"
+        raise Short(why, end + 4) if len(data) < end + 4 else Damaged(why)
+    payload = bytes(data[begin:end])
     named = headers.get("warc-payload-digest", "")
     if named.startswith("sha256:") and headers.get("warc-type") != "revisit" and hashlib.sha256(payload).hexdigest() != named[7:]:
         raise Damaged("payload digest differs")
     return headers, payload, end + 4
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What the gzip member at ``at`` inflates to, the end of the bytes read and what is wrong with it."""
-    view = memoryview(data)
-    reader, plain, pos = zlib.decompressobj(31), [], at
-    while pos < len(data) and not reader.eof:
-        try:
-            plain.append(reader.decompress(view[pos : pos + _CHUNK]))
-            pos = min(pos + _CHUNK, len(data))
-        except zlib.error:
-            # What the failed call made is lost, so up to its bad byte all is read again byte by byte.
-            reader, plain = zlib.decompressobj(31), []
-            for k in range(at, pos, _CHUNK):
-                plain.append(reader.decompress(view[k : min(k + _CHUNK, pos)]))
+class _Inflating:
+    """The gzip member at ``at``, inflated a step at a time; ``end`` and ``fault`` are known once it ended."""
+
+    def __init__(self, data: bytes, at: int):
+        self.view, self.end, self.fault, self.ended = memoryview(data), at, "", False
+        self.reader, self.tail = zlib.decompressobj(31), b""
+
+    def more(self) -> bytes:
+        """At most ``_STEP`` bytes more; none after the member's end, where it is cut or at a bad byte."""
+        while not self.ended:
+            given = self.tail or self.view[self.end : self.end + _CHUNK]
+            if not len(given):
+                self.ended, self.fault = True, "gzip member is cut short"
+                break
+            begin = self.end - len(self.tail)
+            before = self.reader.copy()
             try:
-                while True:
-                    plain.append(reader.decompress(view[pos : pos + 1]))
-                    pos += 1
+                out = self.reader.decompress(given, _STEP)
+            except zlib.error:
+                return self._to_the_bad_byte(before, given, begin)
+            self.end, self.tail = begin + len(given), self.reader.unconsumed_tail
+            if self.reader.eof:
+                self.ended, self.end = True, self.end - len(self.reader.unused_data)
+            if out:
+                return out
+        return b""
+
+    def _to_the_bad_byte(self, reader, given, begin: int) -> bytes:
+        """What a failed call would have made, got byte by byte."""
+        out = []
+        self.ended, self.tail = True, b""
+        for k in range(len(given)):
+            try:
+                out.append(reader.decompress(given[k : k + 1]))
             except zlib.error as e:
-                return b"".join(plain), pos, f"gzip: {e}"
-    if not reader.eof:
-        return b"".join(plain), pos, "gzip member is cut short"
-    return b"".join(plain), pos - len(reader.unused_data), ""
-
-
-def _member(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int, str]:
-    """Records that pass in the gzip member at ``at``, the end of its bytes and the first failed check."""
-    plain, end, why = _inflated(data, at)
-    # A wrong checksum may mean any byte; then a record without a digest of its own is not sure.
-    unsure = "data check" in why
-    found, pos = [], 0
-    while pos < len(plain):
-        try:
-            headers, payload, end_of = _record(plain, pos)
-            if unsure and not headers.get("warc-payload-digest", "").startswith("sha256:"):
-                raise Damaged(why)
-            found.append((headers, payload))
-            pos = end_of
-        except Damaged as e:
-            why = why or str(e)
-            following = _LINE.search(plain, pos + 1)
-            pos = following.start() if following else len(plain)
-    return found, end, why
+                self.end, self.fault = begin + k, f"gzip: {e}"
+                break
+        return b"".join(out)
+
+
+class _Member:
+    """Records that pass in the gzip member at ``at``, the ``end`` of its bytes and its first ``fault``.
+
+    Records are read once; of a member that inflates to more than some megabytes they are not kept
+    but read again, so the memory it takes is that of its largest record, however far it inflates.
+    """
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.fault = data, at, ""
+        source, found, held, sure, n = _Inflating(data, at), [], 0, 0, 0
+        for headers, payload in self._read(source):
+            n += 1
+            sure += self._digested(headers)
+            held += len(payload) + 200
+            if held <= _HELD:
+                found.append((headers, payload))
+        self.end, self.fault = source.end, source.fault or self.fault
+        # A wrong checksum may mean any byte; then a record without a digest of its own is not sure.
+        self.unsure = "data check" in source.fault
+        self.n = sure if self.unsure else n
+        self.found = found if held <= _HELD else None
+
+    @staticmethod
+    def _digested(headers: dict) -> bool:
+        return headers.get("warc-payload-digest", "").startswith("sha256:")
+
+    def _read(self, source: _Inflating) -> Iterator[tuple[dict, bytes]]:
+        plain, pos, need = bytearray(), 0, 1
+        while True:
+            while len(plain) < need and not source.ended:
+                plain += source.more()
+            if pos >= len(plain):
+                if source.ended:
+                    return
+                need = pos + 1
+                continue
+            try:
+                headers, payload, pos = _record(plain, pos)
+                yield headers, payload
+            except Damaged as e:
+                if isinstance(e, Short) and not source.ended:
+                    del plain[:pos]
+                    need, pos = max(e.need - pos, len(plain) + 1), 0
+                    continue
+                self.fault = self.fault or str(e)
+                following = _LINE.search(plain, pos + 1)
+                pos = following.start() if following else max(pos + 1, len(plain) if source.ended else len(plain) - _LONGEST_LINE)
+            if pos > _STEP:
+                del plain[:pos]
+                pos = 0
+            need = pos + 1
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[tuple[dict, bytes]]:
+        rows = self._read(_Inflating(self.data, self.at)) if self.found is None else self.found
+        return (row for row in rows if not self.unsure or self._digested(row[0]))
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
@@ -125,7 +196,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
     shared by their records, the rows cover the file without overlap.
     """
     at, gap, why = 0, None, ""
-    broken: list[tuple[int, int, list, str]] = []
+    broken: list[tuple[int, int, _Member, str]] = []
 
     def lost(stop: int) -> Iterator[tuple]:
         """Rows from ``gap`` to ``stop``: what damaged members gave, and gaps."""
@@ -143,7 +214,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
     while at < len(data):
         try:
             if data.startswith(b"\x1f\x8b", at):
-                found, end, fault = _member(data, at)
+                found = _Member(data, at)
+                end, fault = found.end, found.fault
                 if fault and found and not fault.startswith("gzip"):
                     if gap is not None:
                         yield from lost(at)
@@ -182,7 +254,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """Records and quarantined byte gaps of all files below ``path``.
 
     One task holds one file at a time, so archives should be cut at some hundred megabytes, as is
-    usual. ``kind`` is record or gap; a gap has offset, length and the reason of the first failed
+    usual; what a member inflates to is held one record at a time. Files without a byte give no row. ``kind`` is record or gap; a gap has offset, length and the reason of the first failed
     check. With ``payloads`` false, payloads are checked and digested but not returned.
     """
     names = RECORDS.names
@@ -212,14 +284,15 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     return files.select("path", "content").mapInArrow(parse, RECORDS)
 
 
-def write_warc(pages: DataFrame, path: str, least_revisit: int = 100, records_per_file: int = 2000) -> None:
+def write_warc(pages: DataFrame, path: str, least_revisit: int = 100, records_per_file: int = 2000, compressed: bool = True) -> None:
     """One record per row of ``pages`` (page_id, url, html), payload the html in UTF-8.
 
     Rows with equal payloads of at least ``least_revisit`` bytes: the smallest page_id is written as
     response, the others as revisit records without payload. A null html is an empty payload, a null
     url gives no target header, rows with a null page_id are always responses, and repeated rows are
-    written as often as they come. Other columns are ignored. The text writer ends each row with the
-    record terminator, so files go to any store that Spark writes to.
+    written as often as they come. Other columns are ignored. With ``compressed`` each record is a
+    gzip member of its own. The text writer ends each row with the record terminator, or with an empty
+    gzip member behind it, so files go to any store that Spark writes to.
     """
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     hashed = rows.select("page_id", F.unhex(F.sha2("html", 256)).alias("digest"), F.octet_length("html").alias("size"))
@@ -245,7 +318,18 @@ def write_warc(pages: DataFrame, path: str, least_revisit: int = 100, records_pe
         F.lit("\r\n"),
         F.when(revisit, F.lit("")).otherwise(F.col("html")),
     )
-    all_rows.select(record.alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).text(path)
+    out = all_rows.select(record.alias("value"))
+    end = END.decode()
+    if compressed:
+        out, end = in_small_batches(out).mapInArrow(_packed, "raw binary").select(F.col("raw").cast("string").alias("value")), EMPTY_MEMBER.decode("latin-1")
+    out.write.option("lineSep", end).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 100):
+            raw = [gzip.compress(r.as_buffer().to_pybytes() + END, 6, mtime=0) for r in batch.column(0).slice(at, 100)]
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], names=["raw"])
 
 
 def page_records(records: DataFrame) -> DataFrame:

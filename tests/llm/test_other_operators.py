@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import zlib
 
 import numpy as np
 
@@ -64,17 +65,21 @@ PAGES = "page_id long, url string, html string, record_type int"
 def test_warc_round_trip(spark):
     long = "<p>é" * 60
     rows = [(5, "http://a/ b\r\nX: y", long, 1), (3, "http://a", long, 1), (9, None, long, 1), (1, "u", "short", 1), (2, "u", "short", 1), (4, "u", None, 1), (6, "u", "WARC/1.1\r\n" * 30, 1), (7, "u", "", 1)]
-    path = new_folder(spark, "archives")
-    warc.write_warc(spark.createDataFrame(rows, PAGES), path)
-    records = warc.read_warc(spark, path)
-    got = {r.page_id: r for r in warc.page_records(records).collect()}
-    assert records.where("kind = 'gap'").count() == 0 and len(got) == len(rows)
-    for i, _, html, _ in rows:
-        raw = (html or "").encode()
-        assert got[i].payload_bytes == len(raw) and got[i].payload_digest == hashlib.sha256(raw).hexdigest()
-        assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if i in (5, 9) else ("response", None))
-    payloads = {bytes(r.payload) for r in records.where("record_type = 'response'").select("payload").collect()}
-    assert payloads == {(h or "").encode() for _, _, h, _ in rows}
+    for compressed in (True, False):
+        path = new_folder(spark, "archives")
+        warc.write_warc(spark.createDataFrame(rows, PAGES), path, compressed=compressed)
+        records = warc.read_warc(spark, path)
+        got = {r.page_id: r for r in warc.page_records(records).collect()}
+        assert records.where("kind = 'gap'").count() == 0 and len(got) == len(rows)
+        for i, _, html, _ in rows:
+            raw = (html or "").encode()
+            assert got[i].payload_bytes == len(raw) and got[i].payload_digest == hashlib.sha256(raw).hexdigest()
+            assert (got[i].record_type, got[i].refers_to) == (("revisit", 3) if i in (5, 9) else ("response", None))
+        payloads = {bytes(r.payload) for r in records.where("record_type = 'response'").select("payload").collect()}
+        assert payloads == {(h or "").encode() for _, _, h, _ in rows}
+        # Any reader of gzip sees the same archive.
+        files = b"".join(bytes(r.content) for r in spark.read.format("binaryFile").load(path + "/*.txt").select("content").collect())
+        assert (gzip.decompress(files) if compressed else files).count(b"WARC-Record-ID") == len(rows)
     empty = new_folder(spark, "archives")
     warc.write_warc(spark.createDataFrame([], PAGES), empty)
     assert warc.read_warc(spark, empty).count() == 0
@@ -141,6 +146,32 @@ def test_salvage_keeps_what_passes_around_damage(spark):
     assert ids == [2, 3] and len(gaps) == 1
 
 
+def test_salvage_of_large_files_is_linear_and_bounded():
+    import resource
+    import time
+
+    rng = random.Random(3)
+    # 100 MB of members, then a member of one record more than a hundred times its size.
+    noise = [rng.randbytes(14_000) for _ in range(50)]
+    members = [gzip.compress(record(k, noise[k % 50]), 1) for k in range(7000)]
+    data = b"".join(members)
+    began = time.perf_counter()
+    assert sum(r[0] == "record" for r in warc.salvage(data)) == 7000
+    plain = time.perf_counter() - began
+    assert plain < 30, plain
+    # A bomb of nothing but zeros between two records of one member: it is read through, not held.
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    zeros = bytes(1 << 20)
+    bomb = packer.compress(record(1, b"before"))
+    for _ in range(600):
+        bomb += packer.compress(zeros)
+    bomb += packer.compress(record(2, b"behind")) + packer.flush()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    ids, gaps = salvaged(bomb + members[0])
+    assert ids == [1, 2, 0] and len(gaps) == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
 def brute_url(url):
     host, path = "", ""
     if url and "://" in url:
@@ -161,8 +192,8 @@ def test_urls(spark):
     rng = random.Random(6)
     urls += [f"http://{rng.choice(['www.', '', 'm.'])}h{rng.randrange(500)}.{rng.choice(['example.', ''])}{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'de', 'es'])}/{rng.randrange(100)}" for _ in range(400)]
     rows = [(i, u, "x") for i, u in enumerate(urls)]
-    for bits in (8.0, 1.0):  # a tight bitmap makes more levels
-        got = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), bits_per_key=bits).collect()}
+    for rate, most in ((None, 1 << 29), (0.5, 1 << 29), (0.5, 2)):  # level 1 as planned; too small, so that more follow; several cascades
+        got = {r.page_id: r for r in urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), rate=rate, most_bits=most).collect()}
         for i, u in enumerate(urls):
             assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == brute_url(u), u
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
@@ -170,11 +201,13 @@ def test_urls(spark):
 
 def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(4000).selectExpr("concat('k', id) as key")
-    listed = universe.where("cast(substring(key, 2) as int) % 7 = 0")
-    levels = urlfilter.build_cascade(listed, universe, bits_per_key=2.0, hashes=2)
-    assert len(levels) > 3
-    wrong = universe.where(urlfilter.member(universe.key, levels) != (universe.key.substr(2, 9).cast("int") % 7 == 0))
-    assert wrong.count() == 0
+    universe = universe.union(universe.where("key = 'k5'").crossJoin(spark.range(3000)).select("key"))
+    listed = universe.where("cast(substring(key, 2) as int) % 7 = 0").union(spark.createDataFrame([(None,)], "key string"))
+    wrong = lambda made: universe.where(urlfilter.member(universe.key, made) != (universe.key.substr(2, 9).cast("int") % 7 == 0)).count()
+    levels = urlfilter.build_cascades({"a": listed, "none": listed.limit(0)}, universe, 4000, rate=0.5)
+    assert len(levels["a"]) > 3 and levels["none"] == [] and wrong(levels["a"]) == 0
+    planned = urlfilter.build_cascades({"a": listed}, universe, 4000)["a"]
+    assert wrong(planned) == 0 and len(planned[1].bits) < 2 * len(planned[0].bits) and sum(len(x.bits) for x in planned) < sum(len(x.bits) for x in levels["a"])
 
 
 def test_quotation_links(spark):
