@@ -14,6 +14,11 @@ training for this model. The seating of a dish is one block: the number of its t
 its exact conditional distribution up to 32 customers (generalised Stirling numbers), beyond that
 customer by customer in short runs with a look-ahead factor. After the burn-in, the predictive
 probabilities of all sweeps are averaged.
+
+Discounts are not sampled: each level's is n1 / (n1 + 2 * n2) of its dishes with one and two
+customers, within 0.1 and 0.95, anew in every sweep for the words. The strength is a parameter, the
+same for all restaurants. How occurrences are dealt depends on the texts alone, and so do the draws:
+neither the cluster nor its number of shuffle partitions changes a score.
 """
 
 from __future__ import annotations
@@ -37,19 +42,20 @@ _U64 = np.uint64
 _BEGIN = _U64(0xB5AD4ECEDA1CE2A9)
 _FINISH = _U64(0x1F83D9ABFB41BD6B)
 _FLUSH = 3_000_000
+_BUCKET_BYTES = 16 << 20
 _EXACT = 32
 _GLOBALS = 8  # customers, tables, ones, twos of the parent; tokens, types, ones, twos of the contexts
 
 _PACKED = T.StructType(
     [T.StructField("bucket", T.IntegerType()), T.StructField("flush", T.LongType())]
-    + [T.StructField(n, T.BinaryType()) for n in ("u", "runs", "w_low", "w_high", "n_all", "n_held", "doc", "ids", "held")]
+    + [T.StructField(n, T.BinaryType()) for n in ("u", "runs", "names", "w", "n_all", "n_held", "doc", "ids", "held")]
 )
 _MAIL = T.StructType(
     [T.StructField(n, T.IntegerType()) for n in ("target", "origin", "sweep")]
-    + [T.StructField(n, T.BinaryType()) for n in ("words_low", "words_high", "values", "hot", "hot_values", "head", "state", "memory")]
+    + [T.StructField(n, T.BinaryType()) for n in ("words", "values", "hot", "hot_values", "head", "state", "memory")]
 )
 _PARTS = T.StructType(
-    [T.StructField("flush", T.LongType())]
+    [T.StructField("flush", T.LongType()), T.StructField("bucket", T.IntegerType())]
     + [T.StructField(n, T.BinaryType()) for n in ("doc", "base", "score", "unknown", "ids", "held", "size")]
     + [T.StructField("train_tokens", T.LongType()), T.StructField("types", T.LongType())]
 )
@@ -129,10 +135,13 @@ def pack_occurrences(docs: DataFrame, buckets: int, hot: list[int]) -> DataFrame
         bucket = (mix(keys) % _U64(buckets)).astype(np.int32)[u]
         split = np.flatnonzero(np.isin(keys, hot_keys)[u])
         bucket[split] = (mix(keys[u[split]] ^ mix(keys[w[split]])) % _U64(buckets)).astype(np.int32)
-        order = bucket.astype(_U64) << _U64(48)
-        order |= u.astype(_U64) << _U64(24)
-        order |= w.astype(_U64)
-        order = np.argsort(order, kind="stable").astype(np.int32)
+        if buckets < 1 << 16 and len(keys) < 1 << 24:
+            order = bucket.astype(_U64) << _U64(48)
+            order |= u.astype(_U64) << _U64(24)
+            order |= w.astype(_U64)
+            order = np.argsort(order, kind="stable")
+        else:
+            order = np.lexsort((w, u, bucket))
         bucket, u, w, doc = bucket[order], u[order], w[order], doc[order]
         out = np.array(held, dtype=bool)[doc]
         edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -149,8 +158,8 @@ def pack_occurrences(docs: DataFrame, buckets: int, hot: list[int]) -> DataFrame
             n_all = np.diff(np.append(starts, len(ub)))
             n_held = np.add.reduceat(out[at].astype(np.int64), starts) if len(starts) else n_all
             runs = np.diff(np.append(np.flatnonzero(new_u[starts]), len(starts)))
-            short = keys[wb[starts]] >> _U64(24)
-            cells = (keys[ub[new_u]].tobytes(), small(runs), (short & _U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (short >> _U64(32)).astype(np.uint8).tobytes(), small(n_all), small(n_held), doc[at].tobytes())
+            names, at_name = np.unique(wb[starts], return_inverse=True)
+            cells = (keys[ub[new_u]].tobytes(), small(runs), keys[names].tobytes(), at_name.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32).tobytes(), small(n_all), small(n_held), doc[at].tobytes())
             extra = (pa.array(ids, pa.int64()).fill_null(0).to_numpy().tobytes(), np.array([2 * (i is None) + h for i, h in zip(ids, held)], np.uint8).tobytes()) if mine else (None, None)
             rows.append((b, number, *cells, *extra))
         return _frame(kind, rows).combine_chunks().to_batches()
@@ -239,7 +248,7 @@ class Bucket:
         order = sorted(range(packed.num_rows), key=lambda i: col["flush"][i])
         read = lambda name, kind: [np.frombuffer(col[name][i], kind) for i in order]
         us, runs = read("u", _U64), [unsmall(col["runs"][i]) for i in order]
-        low, high = np.concatenate(read("w_low", np.uint32)), np.concatenate(read("w_high", np.uint8))
+        named = read("names", _U64)
         self.flush = [col["flush"][i] for i in order]
         self.ids = [(col["ids"][i], col["held"][i]) for i in order]
         self.n_all, n_held = (np.concatenate([unsmall(col[n][i]) for i in order]) for n in ("n_all", "n_held"))
@@ -250,11 +259,12 @@ class Bucket:
             many = int(self.n_all[k - n : k].sum())
             self.docs.append(np.frombuffer(raw, np.uint16 if len(raw) == 2 * many else np.uint32).astype(np.int64))
         self.u, u_back = np.unique(np.concatenate(us), return_inverse=True)
-        word = (high.astype(_U64) << _U64(32)) | low
-        key = (np.repeat(u_back, np.concatenate(runs)).astype(_U64) << _U64(40)) | word
+        self.words, name_back = np.unique(np.concatenate(named), return_inverse=True)
+        first = np.cumsum([0, *map(len, named)])
+        word = np.concatenate([name_back[a + np.frombuffer(col["w"][i], np.uint16 if len(n) <= 1 << 16 else np.uint32)] for i, a, n in zip(order, first, named)])
+        key = (np.repeat(u_back, np.concatenate(runs)) << 32) | word
         cells, self.cell = np.unique(key, return_inverse=True)
-        self.context = (cells >> _U64(40)).astype(np.int64)
-        self.words, self.word = np.unique(cells & _U64((1 << 40) - 1), return_inverse=True)
+        self.context, self.word = cells >> 32, cells & 0xFFFFFFFF
         self.customers = np.bincount(self.cell, weights=self.n_all - n_held, minlength=len(cells)).astype(np.int64)
         self.is_hot = np.isin(self.u, hot)
         self.total = np.bincount(self.context, weights=self.customers, minlength=len(self.u))
@@ -266,11 +276,11 @@ class Bucket:
 class Answers:
     """What the shards say of one sweep to one bucket."""
 
-    def __init__(self, bucket: Bucket, rows: list[dict], shards: int):
+    def __init__(self, bucket: Bucket, rows: list[dict], shards: int, strength: float):
         above = np.zeros((2, len(bucket.words)))
         self.customers, self.tables = bucket.total.copy(), np.zeros(len(bucket.u))
         home = shard_of(bucket.words, shards)
-        hot_home = shard_of(bucket.u >> _U64(24), shards)
+        hot_home = shard_of(bucket.u, shards)
         sums = np.zeros(_GLOBALS)
         for r in rows:
             if r["state"] is not None:
@@ -284,8 +294,8 @@ class Answers:
         self.tables[~bucket.is_hot] = own[~bucket.is_hot]
         self.sums = sums
         c0, t0, ones0, twos0, self.tokens, self.types, ones, twos = sums
-        self.discount, self.strength = _discount(ones, twos), 1.0
-        d0, s0 = _discount(ones0, twos0), 1.0
+        self.discount, self.strength = _discount(ones, twos), strength
+        d0, s0 = _discount(ones0, twos0), strength
         self.chance = (np.maximum(0.0, above[0] - d0 * above[1]) + (s0 + d0 * t0) / (self.types + 1)) / (s0 + c0)
 
     def predictive(self, bucket: Bucket) -> np.ndarray:
@@ -308,7 +318,7 @@ def shard_of(words: np.ndarray, shards: int) -> np.ndarray:
 def _send(bucket: Bucket, number: int, sweep: int, tables: np.ndarray, sums: np.ndarray, shards: int, memory: bytes | None = None) -> pa.Table:
     """One message to each shard; one of them keeps the bucket's state and sends it back."""
     by_word = np.bincount(bucket.word, weights=tables, minlength=len(bucket.words)).astype(np.int64)
-    home, hot_home = shard_of(bucket.words, shards), shard_of(bucket.u >> _U64(24), shards)
+    home, hot_home = shard_of(bucket.words, shards), shard_of(bucket.u, shards)
     by_context = bucket.sum_by_context(tables)
     cold = ~bucket.is_hot
     tokens, types = bucket.total[cold].sum(), (bucket.total[cold] > 0).sum()
@@ -321,29 +331,28 @@ def _send(bucket: Bucket, number: int, sweep: int, tables: np.ndarray, sums: np.
         mine = r == number % shards
         head = np.array([*sums[:2], sums[5], *sums[2:4], *((tokens, types, (bucket.customers == 1).sum(), (bucket.customers == 2).sum()) if mine else (0, 0, 0, 0))], np.float64)
         w = bucket.words[at]
-        named = (None, None, None)
+        named = (None, None)
         if not sweep:  # the shards read the names of words and hot contexts from the first messages
-            named = ((w & _U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), (w >> _U64(32)).astype(np.uint8).tobytes(), bucket.u[hot_at].tobytes())
+            named = (w.tobytes(), bucket.u[hot_at].tobytes())
         kept = (small(tables), memory) if mine else (None, None)
-        rows.append((r, number, sweep, *named[:2], small(by_word[at]), named[2], np.stack([bucket.total[hot_at], by_context[hot_at]]).tobytes(), head.tobytes(), *kept))
+        rows.append((r, number, sweep, named[0], small(by_word[at]), named[1], np.stack([bucket.total[hot_at], by_context[hot_at]]).tobytes(), head.tobytes(), *kept))
     return _frame(_MAIL, rows)
 
 
-def _parent_step(key: tuple, first: pa.Table, mail: pa.Table, seed: int) -> pa.Table:
+def _parent_step(key: tuple, first: pa.Table, mail: pa.Table, seed: int, strength: float) -> pa.Table:
     """One shard of the parent restaurant: sum, seat, answer every bucket."""
     by_origin = lambda t: sorted(t.to_pylist(), key=lambda r: r["origin"])
-    rows, names = by_origin(mail), by_origin(first.select(["origin", "words_low", "words_high", "hot"]))
+    rows, names = by_origin(mail), by_origin(first.select(["origin", "words", "hot"]))
     sweep = rows[0]["sweep"]
-    lows = [np.frombuffer(r["words_low"], np.uint32) for r in names]
-    words = (np.concatenate([np.frombuffer(r["words_high"], np.uint8) for r in names]).astype(_U64) << _U64(32)) | np.concatenate(lows)
-    _, back = np.unique(words, return_inverse=True)
+    lists = [np.frombuffer(r["words"], _U64) for r in names]
+    _, back = np.unique(np.concatenate(lists), return_inverse=True)
     customers = np.bincount(back, weights=np.concatenate([unsmall(r["values"]) for r in rows])).astype(np.int64)
     heads = np.stack([np.frombuffer(r["head"], np.float64) for r in rows])
     c0, t0, types, ones0, twos0 = heads[0, :5]
     rng = np.random.default_rng([seed, 7, sweep, key[0].as_py()])
     d0 = _discount((customers == 1).sum(), (customers == 2).sum()) if not c0 else _discount(ones0, twos0)
     if c0:
-        tables = draw_tables(customers, np.full(len(customers), max(0.0, t0 - 1)), np.full(len(customers), 1 / (types + 1)), d0, 1.0, rng)
+        tables = draw_tables(customers, np.full(len(customers), max(0.0, t0 - 1)), np.full(len(customers), 1 / (types + 1)), d0, strength, rng)
     else:
         tables = np.minimum(customers, 1)
     hot, hot_back = np.unique(np.concatenate([np.frombuffer(r["hot"], _U64) for r in names]), return_inverse=True)
@@ -354,28 +363,29 @@ def _parent_step(key: tuple, first: pa.Table, mail: pa.Table, seed: int) -> pa.T
     sums[4] += totals[0].sum()
     sums[5] += (totals[0] > 0).sum()
     out, at, hot_at = [], 0, 0
-    for r, name, low in zip(rows, names, lows):
+    for r, name, listed in zip(rows, names, lists):
         n_hot = len(name["hot"]) // 8
         mine = hot_back[hot_at : hot_at + n_hot]
-        out.append((r["origin"], key[0].as_py(), sweep, None, None, small(np.concatenate([customers[back[at : at + len(low)]], tables[back[at : at + len(low)]]])), None, totals[:, mine].tobytes(), sums.tobytes(), r["state"], r["memory"]))
-        at, hot_at = at + len(low), hot_at + n_hot
+        out.append((r["origin"], key[0].as_py(), sweep, None, small(np.concatenate([customers[back[at : at + len(listed)]], tables[back[at : at + len(listed)]]])), None, totals[:, mine].tobytes(), sums.tobytes(), r["state"], r["memory"]))
+        at, hot_at = at + len(listed), hot_at + n_hot
     return _frame(_MAIL, out)
 
 
-def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: int = 1, buckets: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: int = 1, buckets: int | None = None, strength: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
     Tokens: words with A-Z lower-cased, then one end. The model learns from all documents that are
     not held out (crc32 of the doc_id as text, modulo 7, is 2) and scores all. ``score`` is the log10
     probability of the text under the mean of the predictive probabilities of ``samples`` sweeps
     after ``burn_in``. A null or empty text is an end alone; a null doc_id counts as empty text for
-    the hash; repeated rows are documents of their own. Other columns are ignored; an empty table
-    gives an empty table. Words are told apart by 64-bit hashes as contexts and 40-bit hashes as
-    dishes.
+    the hash; repeated rows are documents of their own. A long text is one row of word hashes, eight
+    bytes a word. Other columns are ignored; an empty table gives an empty table. Words are told apart
+    by 64-bit hashes. ``buckets`` defaults to one for every 16 MB of text, which a task holds as arrays.
     """
-    spark = in_small_batches(docs).sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(1, buckets // 2)
+    docs = in_small_batches(docs)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = buckets or max(4, -(-size // _BUCKET_BYTES))
+    shards = max(2, round(2 * buckets**0.5))
     hot_list = hot_contexts(docs, buckets)
     hot = np.sort(np.array(hot_list, dtype=np.int64).view(_U64))
     packed = pack_occurrences(docs, buckets, hot_list)
@@ -390,17 +400,17 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
         bucket, rows, number = Bucket(table, buckets, hot), mail.to_pylist(), key[0].as_py()
         sweep = rows[0]["sweep"] + 1
         memory = pickle.dumps(recalled(rows)) if sweep > burn_in + 1 else None
-        now = Answers(bucket, rows, shards)
+        now = Answers(bucket, rows, shards, strength)
         others = np.maximum(0.0, now.tables[bucket.context] - now.state)
         rng = np.random.default_rng([seed, 3, sweep, number])
         tables = draw_tables(bucket.customers, others, now.chance[bucket.word], now.discount, now.strength, rng)
         return _send(bucket, number, sweep, tables, now.sums, shards, memory)
 
     def first_answer(key: tuple, table: pa.Table) -> pa.Table:
-        return _parent_step(key, table, table, seed)
+        return _parent_step(key, table, table, seed, strength)
 
     def answer(key: tuple, first: pa.Table, table: pa.Table) -> pa.Table:
-        return _parent_step(key, first, table, seed)
+        return _parent_step(key, first, table, seed, strength)
 
     def score(key: tuple, table: pa.Table, mail: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -408,7 +418,7 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
         bucket, rounds = Bucket(table, buckets, hot), recalled(mail.to_pylist())
         mean = np.zeros(len(bucket.context))
         for rows in rounds:
-            now = Answers(bucket, rows, shards)
+            now = Answers(bucket, rows, shards, strength)
             mean += now.predictive(bucket)
         log_p = np.log10(mean / len(rounds))
         count = now.customers[bucket.context]
@@ -419,17 +429,17 @@ def score_documents(docs: DataFrame, burn_in: int = 1, samples: int = 2, seed: i
             at += n
             here, back = np.unique(doc, return_inverse=True)
             total = lambda v: np.bincount(back, weights=v, minlength=len(here))
-            cells = (small(np.diff(here, prepend=0)), total(log_c[cell]).tobytes(), total(log_p[cell]).astype(np.float32).tobytes(), small(total(count[cell] == 0).astype(np.int64)))
-            out.append((flush, *cells, ids, held, small(np.bincount(back, minlength=len(here))), int(now.tokens), int(now.types)))
+            cells = (small(np.diff(here, prepend=0)), total(log_c[cell]).tobytes(), total(log_p[cell]).tobytes(), small(total(count[cell] == 0).astype(np.int64)))
+            out.append((flush, key[0].as_py(), *cells, ids, held, small(np.bincount(back, minlength=len(here))), int(now.tokens), int(now.types)))
         return _frame(_PARTS, out)
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         ids, flags = next((np.frombuffer(r["ids"], np.int64), np.frombuffer(r["held"], np.uint8)) for r in rows if r["ids"] is not None)
         sums = np.zeros((4, len(ids)))
-        for r in sorted(rows, key=lambda r: (r["doc"], r["score"])):
+        for r in sorted(rows, key=lambda r: r["bucket"]):
             at = np.cumsum(unsmall(r["doc"]))
-            for k, values in enumerate((np.frombuffer(r["base"], np.float64), np.frombuffer(r["score"], np.float32), unsmall(r["unknown"]), unsmall(r["size"]))):
+            for k, values in enumerate((np.frombuffer(r["base"], np.float64), np.frombuffer(r["score"], np.float64), unsmall(r["unknown"]), unsmall(r["size"]))):
                 sums[k, at] += values
         tokens, types = rows[0]["train_tokens"], rows[0]["types"]
         size = sums[3]

@@ -137,6 +137,7 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     conversations quote each other in a circle, the message of the smallest (conv_id, turn) that
     quotes another conversation has no parent; its n_linked stays. Null texts stay null, messages
     with a null conv_id or turn neither quote nor are quoted; repeated rows give repeated results.
+    Messages of any length are read whole, one Python string each.
     Other columns are ignored; an empty table gives an empty table.
     """
     parsed = written(parse_messages(messages), "messages")

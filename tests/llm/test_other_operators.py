@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -259,6 +260,72 @@ def test_quotation_links_in_both_directions(spark):
     assert see(30, 0) == (31, 0, 31, 0, 1)
 
 
+def brute_links(rows):
+    """Parent, number of linked passages, root and depth of each (conv, turn), by looking at all messages for each."""
+    tidy = lambda t: " ".join(t.casefold().split())
+
+    def pieces(text):
+        """Whole text, paragraphs and lines; true for those that may link to other conversations."""
+        out = {}
+        for k, p in enumerate([text, *re.split(r"\n\s*\n", text), *text.split("\n")]):
+            if tidy(p):
+                out[tidy(p)] = out.get(tidy(p), False) or k == 0 or len(tidy(p)) >= 12
+        return out
+
+    own, quoted = {}, {}
+    for c, t, _, text in rows:
+        clean, passages = quotes.split_quotes(text) if text is not None else ("", [])
+        own.setdefault((c, t), {}).update(pieces(clean))
+        for level, p in passages:
+            for piece, wide in pieces(p).items():
+                was = quoted.setdefault((c, t), {}).get(piece, (level, False))
+                quoted[c, t][piece] = (min(level, was[0]), wide or was[1])
+    parent, linked = {}, {}
+    for at, found in quoted.items():
+        options = []
+        for piece, (level, wide) in found.items():
+            here = [m for m in own if m[0] == at[0] and piece in own[m]]
+            if here and min(here)[1] < at[1]:
+                options.append((level, 0, *(-x for x in min(here))))
+            elif wide and (there := [m for m in own if m[0] != at[0] and own[m].get(piece)]):
+                options.append((level, 1, *(-x for x in min(there))))
+        if options:
+            linked[at], (_, _, c, t) = len(options), min(options)
+            parent[at] = (-c, -t)
+    for start in sorted(parent):
+        path = [start]
+        while path[-1] in parent and parent[path[-1]] not in path:
+            path.append(parent[path[-1]])
+        if path[-1] in parent:
+            circle = path[path.index(parent[path[-1]]) :]
+            del parent[min(m for m in circle if parent[m][0] != m[0])]
+    out = {}
+    for at in own:
+        root, depth = at, 0
+        while root in parent:
+            root, depth = parent[root], depth + 1
+        out[at] = (parent.get(at), linked.get(at, 0), root, depth)
+    return out
+
+
+def test_quotation_links_of_whole_conversations(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rng = random.Random(6)
+    said = ["short", "these words are said by many", "another passage of some length", "a third one, of other words", "and a last one to quote here"]
+    for c in range(10_000, 10_060):  # conversations that quote themselves and each other, some in circles
+        for t in range(rng.randrange(1, 5)):
+            quote = [">" * rng.randrange(1, 3) + " " + rng.choice(said) + rng.choice(["", f" {rng.randrange(40)}"]) for _ in range(rng.randrange(3))]
+            rows.append((c, t, "user", "\n".join([*quote, rng.choice(said) + rng.choice(["", f" {rng.randrange(40)}"])])))
+    rows.append((10_060, 0, "user", "> these words are said by many\n" + "long " * 500_000))
+    want = brute_links(rows)
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        parent = (r.parent_conv, r.parent_turn) if r.parent_conv is not None else None
+        assert (parent, r.n_linked, (r.root_conv, r.root_turn), r.depth) == want[r.conv_id, r.turn], r
+    assert sum(r.n_linked > 0 for r in got) > 60 and max(r.depth for r in got) > 1
+
+
 def test_nested_levels():
     own, passages = quotes.split_quotes("a\n> b\n>> c\n> d\n\ne")
     assert own == "a\n\ne" and passages == [(1, "b"), (2, "c"), (1, "d")]

@@ -424,10 +424,83 @@ def test_language_model(spark):
         better += r.held_out and r.score > r.base_score
     assert better > 0.9 * sum(r.held_out for r in got)
     assert pitman_yor.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
-    again = {(r.doc_id, r.score) for r in pitman_yor.score_documents(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    again = {(r.doc_id, r.score) for r in pitman_yor.score_documents(docs.repartition(3)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert again == {(r.doc_id, r.score) for r in got}
 
 
+def brute_pitman_yor(train, texts, burn_in, samples, rng, strength=1.0):
+    """Two levels with every customer at a table of its own choice, moved one at a time."""
+    estimate = lambda n: min(0.95, max(0.1, n[1] / (n[1] + 2 * n[2]))) if n[1] else 0.5
+    cells = collections.Counter((u, w) for t in train for u, w in zip(["^", *t], t))
+    discount = estimate(collections.Counter(cells.values()))
+    types = len({w for _, w in cells})
+    seats = {c: [1] * n for c, n in cells.items()}  # customers of each table
+    of_context = collections.Counter(u for t in train for u in ["^", *t[:-1]])
+    tables = collections.Counter()
+    for (u, _), s in seats.items():
+        tables[u] += len(s)
+    above = collections.defaultdict(list)
+    for (_, w), s in seats.items():
+        above[w] += [1] * len(s)
+
+    def parent(w):
+        c0, t0 = sum(map(sum, above.values())), sum(map(len, above.values()))
+        return (sum(above[w]) - d0 * len(above[w]) + (strength + d0 * t0) / (types + 1)) / (strength + c0)
+
+    def leave(at):
+        k = rng.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        if not at[k]:
+            at.pop(k)
+            return True
+
+    def sit(at, fresh, d):
+        weights = [n - d for n in at] + [fresh]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(at):
+            at.append(1)
+            return True
+        at[k] += 1
+
+    mean = [[0.0] * len(t) for t in texts]
+    for sweep in range(burn_in + samples):
+        d0 = estimate(collections.Counter(sum(x) for x in above.values()))
+        for (u, w), at in seats.items():
+            for _ in range(cells[u, w]):
+                if leave(at):
+                    tables[u] -= 1
+                    leave(above[w])
+                if sit(at, (strength + discount * tables[u]) * parent(w), discount):
+                    tables[u] += 1
+                    t0 = sum(map(len, above.values()))
+                    sit(above[w], (strength + d0 * t0) / (types + 1), d0)
+        if sweep >= burn_in:
+            for t, m in zip(texts, mean):
+                for k, (u, w) in enumerate(zip(["^", *t], t)):
+                    at = seats.get((u, w), [])
+                    m[k] += (max(0.0, sum(at) - discount * len(at)) + (strength + discount * tables[u]) * parent(w)) / (strength + of_context[u]) / samples
+    return [sum(map(math.log10, m)) for m in mean]
+
+
+def test_language_model_against_seating_of_each_customer(spark):
+    rng = random.Random(2)
+    follow = {a: rng.choices("abcdefgh", k=3) for a in "abcdefgh"}
+    rows = []
+    for i in range(60):
+        w = [rng.choice("abcdefgh")]
+        for _ in range(rng.randrange(3, 12)):
+            w.append(rng.choice(follow.get(w[-1], "abc")) if rng.random() < 0.8 else rng.choice("abcdefghxyz"))
+        rows.append((i, " ".join(w), "", 0, ""))
+    tokens = [r[1].split() + ["$"] for r in rows]
+    train = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = brute_pitman_yor(train, tokens, 20, 150, rng)
+    got = {r.doc_id: r.score for r in pitman_yor.score_documents(spark.createDataFrame(rows, SCHEMA), burn_in=4, samples=12).collect()}
+    off = [(got[i] - want[i]) / len(tokens[i]) for i in range(len(rows))]
+    assert max(map(abs, off)) < 0.03 and abs(sum(off)) / len(off) < 0.01, (max(map(abs, off)), sum(off) / len(off))
+
+
 def test_table_counts_follow_the_conditional():
     import numpy as np
 
