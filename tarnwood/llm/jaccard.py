@@ -251,7 +251,9 @@ def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int)
     shares = max(1, whole // _GROUP_SHINGLES)
     size = groups.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     cut = groups.join(size, "component").withColumn("parts", F.ceil(F.col("weight") / _GROUP_SHINGLES).cast("int"))
+    # Written, so that Spark knows its size when it chooses how to bring the texts to it.
     cut = cut.select("rep.*", "node", "component", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "h1", "h2")
+    cut = written(cut, "cut")
     kind = T.StructType(
         [T.StructField("node", T.LongType()), T.StructField("component", T.LongType()), T.StructField("parts", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("shingles", T.BinaryType())]
     )
