@@ -33,6 +33,7 @@ PIECES = T.StructType(
 _OPEN = T.StructType([*PIECES.fields, T.StructField("round", T.LongType()), T.StructField("ids", T.BinaryType())])
 _MOST_CACHED = 1_000_000
 _TASKS = 8
+_NARROW = "<u2"
 
 
 class Piece(NamedTuple):
@@ -246,8 +247,10 @@ def _rows(held: list[Piece], sequence: int, again: int | None = None) -> list[tu
     """Result rows of one window; with ``again`` those of an open one, for that group of the second round."""
     out, offset = [], 0
     for p in held:
-        raw = p.ids.tobytes()
-        out.append((p.doc_id, p.start, len(p.ids), zlib.crc32(raw), p.total, sequence, offset, p.recut, again, raw if again is not None else None))
+        raw = None
+        if again is not None:
+            raw = p.ids.astype(_NARROW if int(p.ids.max()) < 1 << 16 else "<u4", copy=False).tobytes()
+        out.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4", copy=False).tobytes()), p.total, sequence, offset, p.recut, again, raw))
         offset += len(p.ids)
     return out
 
@@ -291,15 +294,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
         for held in packer.left():
             out += _rows(held, sequence, task // _TASKS)
             sequence += 1
-        for at in range(0, len(out), 1000):
-            yield _batch(out[at : at + 1000], _OPEN.fields)
+        for at in range(0, len(out), 250):
+            yield _batch(out[at : at + 250], _OPEN.fields)
 
     def finish(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
         packer, sequence, out = LevelPacker(window), (1 << 62) + (number << 36), []
-        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
-        ids, start, total, raw = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))
-        full = [held for i in range(len(ids)) if (held := packer.place(Piece(ids[i], start[i], total[i], np.frombuffer(raw[i], "<u4"))))]
+        order = np.lexsort([table.column(c).to_numpy() for c in ("offset", "sequence_id")])
+        ids, start, total, size = (table.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "length"))
+        raw, full = table.column("ids"), []
+        for i in order.tolist():
+            part = raw[i].as_buffer()  # stays where it is
+            if held := packer.place(Piece(ids[i], start[i], total[i], np.frombuffer(part, _NARROW if part.size < 4 * size[i] else "<u4"))):
+                full.append(held)
         for held in full + close_windows(packer.left(), window):
             out += _rows(held, sequence)
             sequence += 1
