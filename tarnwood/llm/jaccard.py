@@ -29,6 +29,7 @@ from tarnwood.llm.tokens import mix, windows, words_of
 _EDGES = T.StructType([T.StructField("src", T.LongType()), T.StructField("dst", T.LongType())])
 _TILE_ROWS, _TILE_BITS = (2048, 65536), 1 << 25
 _GROUP_SHINGLES = 1 << 20
+_MOST_NAMED = 2_000_000
 
 
 def signature_bits(size):
@@ -247,11 +248,10 @@ def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int)
     Small groups share a task; a group with more than ``_GROUP_SHINGLES`` shingles is cut into parts,
     and each pair of parts is a task of its own.
     """
-    whole = groups.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    n, whole = groups.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     shares = max(1, whole // _GROUP_SHINGLES)
     size = groups.groupBy("component").agg(F.sum("n_shingles").alias("weight"))
     cut = groups.join(size, "component").withColumn("parts", F.ceil(F.col("weight") / _GROUP_SHINGLES).cast("int"))
-    # Written, so that Spark knows its size when it chooses how to bring the texts to it.
     cut = cut.select("rep.*", "node", "component", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "h1", "h2")
     cut = written(cut, "cut")
     kind = T.StructType(
@@ -273,6 +273,9 @@ def verified_edges(docs: DataFrame, groups: DataFrame, width: int, percent: int)
 
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text).alias("_key"), text.alias("text"))
+    if n <= _MOST_NAMED:  # counted: one long each; beyond that the join itself brings all texts together once
+        named = F.broadcast(cut.select(F.xxhash64("doc_id", "text_key").alias("_name")).distinct())
+        texts = texts.join(named, F.xxhash64("_id", "_key") == F.col("_name"), "left_semi")
     found = texts.join(cut, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
     sets = found.select("node", "component", "parts", "part", "h1", "h2", "text").mapInArrow(arrays, kind)
     task = "struct({} as home, {} as low, {} as high, {} as side)"
