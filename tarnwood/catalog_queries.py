@@ -482,13 +482,21 @@ def allocation_fold(spark, sf_dir):
     return projections.allocations(events).withColumnRenamed("grant", "grant_id")
 
 
-@query("hash_chain_check", "SELECT CAST(COUNT(*) AS BIGINT) AS breaks FROM v_metrics WHERE event_id % 1000 = 999")
+@query("hash_chain_check", """WITH log AS (SELECT event_id, event_id // 8 AS net, event_id % 8 AS seq, event_id % 97 = 5 OR event_id % 101 = 3 AS bad_hash, event_id % 89 = 7 AS bad_link FROM v_metrics WHERE event_id % 83 <> 11),
+    seen AS (SELECT *, lag(seq) OVER o AS before, lag(bad_hash) OVER o AS bad_hash_before FROM log WINDOW o AS (PARTITION BY net ORDER BY seq))
+    SELECT event_id FROM seen WHERE bad_hash OR bad_link OR before <> seq - 1 OR bad_hash_before""")
 def hash_chain_check(spark, sf_dir):
-    rows = view(spark, sf_dir, "metrics").selectExpr("event_id % 2 as net", "event_id div 2 as sequence", "key as body", "cast(null as string) as previous_hash", "event_id")
-    own = F.sha2(F.concat_ws("|", F.col("net").cast("string"), F.col("sequence").cast("string"), "body", F.lit("")), 256)
-    log = rows.withColumn("hash", F.when(F.col("event_id") % 1000 == 999, "broken").otherwise(own))
-    # Each event is its own genesis here, so only damaged hashes break the chain.
-    return projections.chain_breaks(log.withColumn("net", F.col("event_id"))).where("hash = 'broken'").agg(F.count("*").alias("breaks"))
+    """Chains of eight events with wrong and missing hashes, wrong links and gaps."""
+    rows = view(spark, sf_dir, "metrics").selectExpr("event_id", "event_id div 8 as net", "event_id % 8 as sequence", "key as body")
+    events = F.array_sort(F.collect_list(F.struct("sequence", "event_id", "body")))
+    # Each event's hash covers that of the event before it.
+    chained = """aggregate(events, cast(array() as array<struct<event_id: bigint, sequence: bigint, body: string, previous_hash: string, hash: string>>), (a, e) ->
+        concat(a, array(named_struct('event_id', e.event_id, 'sequence', e.sequence, 'body', e.body, 'previous_hash', if(size(a) = 0, null, element_at(a, -1).hash),
+        'hash', sha2(concat_ws('|', cast(net as string), cast(e.sequence as string), e.body, if(size(a) = 0, '', element_at(a, -1).hash)), 256)))))"""
+    log = rows.groupBy("net").agg(events.alias("events")).select("net", F.explode(F.expr(chained)).alias("e")).select("net", "e.*")
+    hurt = F.when(F.col("event_id") % 97 == 5, "broken").when(F.col("event_id") % 101 != 3, F.col("hash"))
+    log = log.withColumns({"hash": hurt, "previous_hash": F.when(F.col("event_id") % 89 == 7, "elsewhere").otherwise(F.col("previous_hash"))})
+    return projections.chain_breaks(log.where("event_id % 83 <> 11")).select("event_id")
 
 
 @query("fold_batch", "SELECT CAST(process_id AS STRING) AS key, round(SUM(value), 4) AS total, COUNT(*) AS n, MAX(event_id) AS last_seq FROM v_metrics GROUP BY 1")
@@ -538,11 +546,13 @@ def pattern_classify(spark, sf_dir):
     return profiling.classify_patterns(_text_cells(spark, sf_dir).select("d", "e"), 0.95).select("column", "category", "n")
 
 
-@query("semantic_classify", "SELECT * FROM (VALUES ('age', 'age', 0.9), ('rate', 'percentage', 0.9)) t(\"column\", category, confidence) UNION ALL SELECT 'age', UNNEST(['unix_timestamp']), 0.6::DOUBLE")
+@query("semantic_classify", """WITH s AS (SELECT MIN(k) AS low, MAX(k) AS high FROM v_tokens)
+    SELECT 'age' AS "column", category, confidence FROM s, (VALUES ('age', 0.9::DOUBLE, 0, 150), ('unix_timestamp', 0.6::DOUBLE, 0, 8589934592)) r(category, confidence, least, most) WHERE low >= least AND high <= most
+    UNION ALL SELECT 'rate', category, confidence FROM (VALUES ('percentage', 0.9::DOUBLE, 0, 100), ('latitude', 0.6::DOUBLE, -90, 90), ('longitude', 0.6::DOUBLE, -180, 180)) r(category, confidence, least, most) WHERE 99.5 BETWEEN least AND most""")
 def semantic_classify(spark, sf_dir):
     rows = view(spark, sf_dir, "tokens").selectExpr("k as age", "99.5D as rate")
     found = profiling.classify_semantic(profiling.column_statistics(rows), {"age": "int", "rate": "float"})
-    return found.where("not (category = 'longitude')").select("column", "category", F.col("confidence").cast("double").alias("confidence"))
+    return found.select("column", "category", F.col("confidence").cast("double").alias("confidence"))
 
 
 @query("schema_diff", "SELECT * FROM (VALUES ('seq', 'removed'), ('ts', 'type'), ('extra', 'added')) t(\"column\", change)")

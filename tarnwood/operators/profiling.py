@@ -12,19 +12,23 @@ from pyspark.sql import types as T
 # The patterns by which string columns are classified.
 PATTERNS: dict[str, str] = {
     "email": r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$",
+    "phone": r"^(\+?\d{1,3}[-.\s]?)?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}$",
     "ip_address": r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",
     "credit_card": r"^(?:\d[ \-]*?){13,19}$",
     "ssn": r"^\d{3}-\d{2}-\d{4}$",
+    "url": r"^https?://[^\s<>\"{}|\\^\x60]+$",
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "iso_date": r"^\d{4}-\d{2}-\d{2}$",
     "iso_datetime": r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}",
     "hex_color": r"^#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})$",
     "semver": r"^\d+\.\d+\.\d+",
+    "file_path": r"^(/[^\x00]+)+$|^[A-Za-z]:\\",
     "json_string": r"^\{.*\}$|^\[.*\]$",
     "base64": r"^[A-Za-z0-9+/]{20,}={0,2}$",
     "md5_hash": r"^[0-9a-fA-F]{32}$",
-    "phone": r"^(\+?\d{1,3}[-.\s]?)?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9}$",
-    "url": r"^https?://[^\s<>\"{}|\\^`]+$",
+    "sha256_hash": r"^[0-9a-fA-F]{64}$",
+    "ipv6_address": r"^([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$",
+    "mac_address": r"^([0-9a-fA-F]{2}[:\-]){5}[0-9a-fA-F]{2}$",
 }
 
 # Category, name pattern, integer or float, range.

@@ -45,5 +45,5 @@ def chain_breaks(log: DataFrame) -> DataFrame:
     w = Window.partitionBy("net").orderBy("sequence")
     link = F.concat_ws("|", F.col("net").cast("string"), F.col("sequence").cast("string"), "body", F.coalesce("previous_hash", F.lit("")))
     rows = log.withColumns({"_hash": F.lag("hash").over(w), "_seq": F.lag("sequence").over(w), "_own": F.sha2(link, 256)})
-    bad = (F.col("_own") != F.col("hash")) | (F.col("_seq").isNotNull() & ~F.col("_hash").eqNullSafe(F.col("previous_hash"))) | (F.col("_seq").isNotNull() & (F.col("sequence") != F.col("_seq") + 1))
+    bad = ~F.col("_own").eqNullSafe(F.col("hash")) | (F.col("_seq").isNotNull() & ~F.col("_hash").eqNullSafe(F.col("previous_hash"))) | (F.col("_seq").isNotNull() & (F.col("sequence") != F.col("_seq") + 1))
     return rows.where(bad).drop("_hash", "_seq", "_own")
