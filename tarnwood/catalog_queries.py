@@ -220,9 +220,9 @@ def format_detect(spark, sf_dir):
     return view(spark, sf_dir, "file_inventory").groupBy(format_of(F.col("path")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@query("display_sizes", "SELECT entry_id, CASE WHEN size_bytes >= 1024 THEN printf('%.1f KB', round(size_bytes / 1024.0, 1)) ELSE printf('%d B', size_bytes) END AS shown FROM v_catalogue WHERE size_bytes < 1000000")
+@query("display_sizes", "SELECT entry_id, CASE WHEN size_bytes >= 1073741824 THEN printf('%.1f GB', round(size_bytes / 1073741824.0, 1)) WHEN size_bytes >= 1048576 THEN printf('%.1f MB', round(size_bytes / 1048576.0, 1)) WHEN size_bytes >= 1024 THEN printf('%.1f KB', round(size_bytes / 1024.0, 1)) ELSE printf('%d B', size_bytes) END AS shown FROM (SELECT entry_id, size_bytes * 977 AS size_bytes FROM v_catalogue)")
 def display_sizes(spark, sf_dir):
-    return view(spark, sf_dir, "catalogue").where("size_bytes < 1000000").select("entry_id", human_bytes(F.col("size_bytes")).alias("shown"))
+    return view(spark, sf_dir, "catalogue").select("entry_id", human_bytes(F.col("size_bytes") * 977).alias("shown"))
 
 
 # ---------------------------------------------------------------- rollups and series
@@ -323,21 +323,21 @@ def _links(spark, sf_dir) -> DataFrame:
 
 
 _LINKS = "links AS (SELECT CAST(a.conv_id AS STRING) || ':' || CAST(a.turn AS STRING) AS node, CAST(a.conv_id AS STRING) || ':' || CAST(a.turn - 1 AS STRING) AS cause FROM v_messages a JOIN v_messages b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1)"
-_BACK = f"WITH RECURSIVE {_LINKS}, back(root, node, depth) AS (SELECT node, node, 0 FROM links WHERE node LIKE '%:5' UNION ALL SELECT b.root, l.cause, b.depth + 1 FROM back b JOIN links l ON b.node = l.node WHERE b.depth < 4)"
+_BACK = f"WITH RECURSIVE {_LINKS}, back(root, node, depth) AS (SELECT node, node, 0 FROM links UNION ALL SELECT b.root, l.cause, b.depth + 1 FROM back b JOIN links l ON b.node = l.node)"
 
 
 @query("provenance_ancestry", f"{_BACK} SELECT root, node, MIN(depth) AS depth FROM back GROUP BY 1, 2")
 def provenance_ancestry(spark, sf_dir):
     links = _links(spark, sf_dir)
-    roots = links.where("node like '%:5'").select(F.col("node").alias("root"), "node")
-    return provenance.reached(links, roots, 4)
+    roots = links.select(F.col("node").alias("root"), "node")
+    return provenance.reached(links, roots)
 
 
 @query("provenance_edges", f"{_BACK} SELECT DISTINCT x.root, l.node, l.cause FROM back x JOIN links l ON x.node = l.node JOIN back y ON y.root = x.root AND y.node = l.cause")
 def provenance_edges(spark, sf_dir):
     links = _links(spark, sf_dir)
-    roots = links.where("node like '%:5'").select(F.col("node").alias("root"), "node")
-    return provenance.edges_within(links, provenance.reached(links, roots, 4))
+    roots = links.select(F.col("node").alias("root"), "node")
+    return provenance.edges_within(links, provenance.reached(links, roots))
 
 
 @query("tag_propagation", f"WITH RECURSIVE {_LINKS}, fwd(node, tag, depth) AS (SELECT CAST(conv_id AS STRING) || ':' || CAST(turn AS STRING), CAST(conv_id AS STRING), 0 FROM v_messages WHERE role = 'system' UNION SELECT l.node, f.tag, f.depth + 1 FROM fwd f JOIN links l ON l.cause = f.node WHERE f.depth < 3) SELECT DISTINCT node, tag FROM fwd")
@@ -589,16 +589,16 @@ def _folders(spark, sf_dir):
 _FOLDERS = "(SELECT DISTINCT regexp_extract(path, '^(/[^/]+)', 1) AS folder FROM v_file_inventory UNION ALL SELECT DISTINCT regexp_extract(path, '^(/[^/]+/[^/]+)', 1) FROM v_file_inventory)"
 
 
-@query("ancestor_chain", f"SELECT h.home, array_to_string(list(f.folder ORDER BY length(f.folder) DESC), ';') AS folders FROM (SELECT DISTINCT path AS home FROM v_file_inventory WHERE starts_with(path, '/en/src1/')) h JOIN {_FOLDERS} f ON h.home = f.folder OR starts_with(h.home, f.folder || '/') GROUP BY 1")
+@query("ancestor_chain", f"SELECT h.home, array_to_string(list(f.folder ORDER BY length(f.folder) DESC), ';') AS folders FROM (SELECT DISTINCT path AS home FROM v_file_inventory) h JOIN {_FOLDERS} f ON h.home = f.folder OR starts_with(h.home, f.folder || '/') GROUP BY 1")
 def ancestor_chain(spark, sf_dir):
-    homes = view(spark, sf_dir, "file_inventory").where(F.col("path").startswith("/en/src1/")).select(F.col("path").alias("home")).distinct()
+    homes = view(spark, sf_dir, "file_inventory").select(F.col("path").alias("home")).distinct()
     return ranking.ancestor_folders(_folders(spark, sf_dir), homes).withColumn("folders", F.array_join("folders", ";"))
 
 
-@query("grant_resolution", f"SELECT p.path, arg_max(f.folder, (f.n, f.folder)) AS role, MAX(f.n) AS depth FROM (SELECT DISTINCT path FROM v_file_inventory WHERE starts_with(path, '/de/')) p JOIN (SELECT folder, len(string_split(folder, '/')) AS n FROM {_FOLDERS}) f ON p.path = f.folder OR starts_with(p.path, f.folder || '/') GROUP BY 1")
+@query("grant_resolution", f"SELECT p.path, arg_max(f.folder, (f.n, f.folder)) AS role, MAX(f.n) AS depth FROM (SELECT DISTINCT path FROM v_file_inventory) p JOIN (SELECT folder, len(string_split(folder, '/')) AS n FROM {_FOLDERS}) f ON p.path = f.folder OR starts_with(p.path, f.folder || '/') GROUP BY 1")
 def grant_resolution(spark, sf_dir):
     grants = _folders(spark, sf_dir).withColumns({"rank": F.size(F.split("folder", "/")), "role": F.col("folder")})
-    paths = view(spark, sf_dir, "file_inventory").where(F.col("path").startswith("/de/")).select("path").distinct()
+    paths = view(spark, sf_dir, "file_inventory").select("path").distinct()
     return ranking.best_grant(grants, paths).select("path", "role", F.col("rank").cast("long").alias("depth"))
 
 

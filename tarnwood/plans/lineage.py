@@ -14,8 +14,9 @@ def cut(df: DataFrame) -> DataFrame:
     gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarnwood-"))
+        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tarnwood-"))
     return df.checkpoint()
