@@ -81,6 +81,15 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT DISTINCT 'n' || CAST(l_partkey AS STRING) AS place, 't' || CAST(l_suppkey AS STRING) AS transition, 'x' || CAST(l_linenumber % 3 AS STRING) AS port,
              CASE WHEN l_linenumber % 2 = 0 THEN 'in' ELSE 'out' END AS direction, 1 + l_orderkey % 2 AS weight FROM lineitem WHERE l_partkey % 5 <> 0""",
     ),
+    "entries": (
+        ("events",),
+        """SELECT event_id AS entry_id, CASE WHEN event_id % 4 = 0 THEN 'p' || CAST(user_id % 40 AS STRING) END AS process_id,
+             CASE WHEN event_id % 4 = 1 THEN 'p' || CAST(user_id % 40 AS STRING) || ':step' WHEN event_id % 4 = 2 THEN 'p' || CAST(user_id % 40 AS STRING) END AS job_id,
+             CASE WHEN event_id % 11 = 0 THEN 'k' || CAST(event_id AS STRING) END AS signal_key, 'h' || CAST(event_id % 500 AS STRING) AS content_hash,
+             event_type AS category, ts AS created_at FROM events""",
+    ),
+    "producers": (("events",), "SELECT 'h' || CAST(event_id % 500 AS STRING) AS content_hash, CASE WHEN event_id % 2 = 0 THEN 'p' || CAST(user_id % 40 AS STRING) END AS process_id, 'n' || CAST(user_id % 20 AS STRING) AS source_net FROM events WHERE event_id % 97 = 0"),
+    "processes": (("events",), "SELECT DISTINCT 'p' || CAST(user_id % 40 AS STRING) AS process_id, 'n' || CAST(user_id % 20 AS STRING) AS net_id FROM events"),
     "tokens": (("events",), "SELECT event_id AS seq, event_type AS place, user_id % 50 AS k, value, ts FROM events"),
 }
 
