@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 
@@ -30,6 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _columns(sql: str) -> list[str]:
+    """The columns of a select list that Spark and its twin share; commas inside brackets don't part them."""
+    return [c for c in re.split(r",\s(?![^()]*\))", " ".join(sql.split())) if c]
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -461,24 +467,42 @@ def guarded_upsert(spark, sf_dir):
     return projections.guarded_upsert(rows.union(rows.where("event_id % 3 = 0")), ["process_id", "key"], "event_id")
 
 
-def _step_events(spark, sf_dir) -> DataFrame:
-    return view(spark, sf_dir, "metrics").selectExpr(
-        "process_id as run_id", "if(event_id % 97 = 0, null, concat('n', event_id % 3)) as node", "event_id as sequence",
-        "case when event_id % 97 = 0 then 'run_end' when key = 'error' then 'fail' when key = 'purchase' then 'exit' when key = 'view' then 'enter' else 'other' end as kind",
-    )
+_STEP_EVENTS = """process_id as run_id, case when event_id % 97 = 0 then null else concat('n', event_id % 3) end as node, event_id as sequence, event_id % 7 as token, ts,
+    case when event_id % 97 = 0 then case when event_id % 2 = 0 then 'run_failed' else 'run_end' end when key = 'error' then 'fail' when key = 'purchase' then 'output' when key = 'view' then 'enter' when key = 'click' then 'fire' else 'other' end as kind"""
 
 
-@query("step_execution_fold", """WITH ev AS (SELECT process_id AS run_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE 'n' || CAST(event_id % 3 AS STRING) END AS node, event_id AS sequence, CASE WHEN event_id % 97 = 0 THEN 'run_end' WHEN key = 'error' THEN 'fail' WHEN key = 'purchase' THEN 'exit' WHEN key = 'view' THEN 'enter' ELSE 'other' END AS kind FROM v_metrics),
-    it AS (SELECT *, SUM(CASE WHEN kind = 'enter' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id, node ORDER BY sequence ROWS UNBOUNDED PRECEDING) AS iteration FROM ev WHERE node IS NOT NULL),
-    st AS (SELECT run_id, node, CAST(iteration AS BIGINT) AS iteration, MAX(sequence) AS last_sequence, CASE WHEN bool_or(kind = 'fail') THEN 'failed' WHEN bool_or(kind = 'exit') THEN 'completed' WHEN bool_or(kind = 'enter') THEN 'running' ELSE 'skipped' END AS state FROM it GROUP BY 1, 2, 3)
-    SELECT s.run_id, s.node, s.iteration, s.last_sequence, CASE WHEN s.state = 'running' AND e.run_id IS NOT NULL THEN 'completed' ELSE s.state END AS state FROM st s LEFT JOIN (SELECT DISTINCT run_id FROM ev WHERE kind = 'run_end') e ON s.run_id = e.run_id""")
+@query("step_execution_fold", f"""WITH ev AS (SELECT {_STEP_EVENTS} FROM v_metrics),
+    k AS (SELECT * FROM ev WHERE node IS NOT NULL AND kind <> 'other' QUALIFY kind <> 'enter' OR row_number() OVER (PARTITION BY run_id, node, kind, token ORDER BY sequence) = 1),
+    c AS (SELECT *, COUNT(*) FILTER (WHERE kind = 'enter') OVER w AS entered, first_value(kind) OVER w AS f FROM k WINDOW w AS (PARTITION BY run_id, node ORDER BY sequence ROWS UNBOUNDED PRECEDING)),
+    st AS (SELECT run_id, node, CAST(CASE WHEN entered = 0 THEN 0 ELSE entered - 1 + CASE WHEN f IN ('fire', 'output') THEN 1 ELSE 0 END END AS BIGINT) AS iteration, arg_min(ts, sequence) AS started_at,
+        COALESCE(arg_max(ts, sequence) FILTER (WHERE kind = 'fail'), arg_max(ts, sequence) FILTER (WHERE kind = 'output')) AS done_at, COALESCE(MAX(sequence) FILTER (WHERE kind <> 'enter'), 0) AS last_sequence,
+        CASE WHEN bool_or(kind = 'fail') THEN 'failed' WHEN bool_or(kind = 'output') THEN 'completed' WHEN bool_or(kind = 'fire') THEN 'running' ELSE 'pending' END AS s FROM c GROUP BY 1, 2, 3),
+    e AS (SELECT run_id, CASE WHEN arg_min(kind, sequence) = 'run_failed' THEN 'failed' ELSE 'skipped' END AS end_state, arg_min(ts, sequence) AS end_at FROM ev WHERE node IS NULL GROUP BY 1),
+    n AS (SELECT DISTINCT run_id, 'n' || CAST(i AS STRING) AS node FROM e, range(5) t(i))
+    SELECT run_id, node, iteration, CASE WHEN s IN ('pending', 'running') THEN COALESCE(end_state, s) ELSE s END AS state, started_at, CASE WHEN s IN ('pending', 'running') THEN end_at ELSE done_at END AS completed_at, last_sequence FROM st LEFT JOIN e USING (run_id)
+    UNION ALL SELECT run_id, node, 0, 'skipped', NULL, NULL, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.run_id = n.run_id AND k.node = n.node)""")
 def step_execution_fold(spark, sf_dir):
-    return projections.step_executions(_step_events(spark, sf_dir)).select("run_id", "node", "iteration", "last_sequence", "state")
+    """Runs of five nodes of which events reach three."""
+    events = view(spark, sf_dir, "metrics").selectExpr(*_columns(_STEP_EVENTS))
+    nodes = events.select("run_id").distinct().select("run_id", F.explode(F.array(*(F.lit(f"n{k}") for k in range(5)))).alias("node"))
+    return projections.step_executions(events).unionByName(projections.unreached(events, nodes))
+
+
+_GRANT_EVENTS = """case when key = 'purchase' and event_id % 2 = 0 then null else concat('g', process_id) end as grant_id, case when key in ('view', 'purchase') then event_id % 40 end as alloc_id, event_id as sequence,
+    case key when 'view' then 'acquire' when 'purchase' then 'release' else 'account' end as kind, case when key = 'error' and event_id % 3 = 0 then 'failed' when key = 'signup' and event_id % 5 = 0 then 'timed_out' when key = 'click' and event_id % 11 = 0 then 'completed' else 'running' end as job_status,
+    case when event_id % 4 > 0 then event_id % 10 end as cpu_seconds, ts"""
 
 
-@query("allocation_fold", "SELECT process_id AS grant_id, CASE WHEN bool_or(key = 'error') THEN 'failed' WHEN bool_or(key = 'signup') THEN 'expired' WHEN bool_or(key = 'purchase') THEN 'released' ELSE 'held' END AS state, MAX(event_id) AS last_sequence, CAST(COALESCE(SUM(event_id % 10), 0) AS BIGINT) AS cost FROM v_metrics GROUP BY 1")
+@query("allocation_fold", f"""WITH ev AS (SELECT {_GRANT_EVENTS} FROM v_metrics),
+    held AS (SELECT grant_id, alloc_id, sequence AS a, lead(sequence) OVER (PARTITION BY grant_id ORDER BY sequence) AS b FROM ev WHERE kind = 'acquire'),
+    k AS (SELECT * FROM ev WHERE grant_id IS NOT NULL UNION ALL SELECT MIN(h.grant_id), any_value(r.alloc_id), r.sequence, 'release', any_value(r.job_status), any_value(r.cpu_seconds), any_value(r.ts) FROM ev r JOIN held h ON r.alloc_id = h.alloc_id AND r.sequence > h.a AND (h.b IS NULL OR r.sequence < h.b) WHERE r.grant_id IS NULL GROUP BY r.sequence),
+    o AS (SELECT *, CASE WHEN kind = 'account' THEN CASE job_status WHEN 'failed' THEN 'failed' WHEN 'timed_out' THEN 'expired' WHEN 'completed' THEN 'released' END END AS fin, MIN(sequence) FILTER (WHERE kind <> 'account') OVER (PARTITION BY grant_id) AS opened FROM k)
+    SELECT grant_id, COALESCE(arg_max(fin, sequence) FILTER (WHERE fin IS NOT NULL), CASE WHEN bool_or(kind = 'release') THEN 'released' END, 'held') AS state, arg_max(alloc_id, sequence) FILTER (WHERE kind = 'acquire') AS alloc_id, arg_min(ts, sequence) FILTER (WHERE kind = 'acquire') AS acquired_at,
+    COALESCE(arg_max(ts, sequence) FILTER (WHERE kind = 'release'), arg_min(ts, sequence) FILTER (WHERE fin IS NOT NULL)) AS released_at, arg_max(cpu_seconds, sequence) FILTER (WHERE kind = 'account' AND cpu_seconds IS NOT NULL) AS cpu_seconds, arg_max(job_status, sequence) FILTER (WHERE fin = 'failed') AS last_error, MAX(sequence) AS last_sequence
+    FROM o WHERE kind <> 'account' OR sequence > opened GROUP BY 1""")
 def allocation_fold(spark, sf_dir):
-    events = view(spark, sf_dir, "metrics").selectExpr("process_id as grant", "event_id as sequence", "case key when 'error' then 'accounting_failed' when 'signup' then 'expire' when 'purchase' then 'release' else 'acquire' end as kind", "event_id % 10 as cost")
+    """Grants by process; every other release knows only the allocation."""
+    events = view(spark, sf_dir, "metrics").selectExpr(*_columns(_GRANT_EVENTS)).withColumnRenamed("grant_id", "grant")
     return projections.allocations(events).withColumnRenamed("grant", "grant_id")
 
 

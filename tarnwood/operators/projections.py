@@ -18,26 +18,93 @@ def guarded_upsert(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame
     return newest.select(*keys, *(F.col(f"_s.{c}").alias(c) for c in others))
 
 
-def step_executions(events: DataFrame) -> DataFrame:
-    """State of each (run, node, iteration) from its events.
+_FIRES = ("fire", "output", "error_output")
+_FAILS = ("fail", "error_output")
+
+
+def step_iterations(events: DataFrame) -> DataFrame:
+    """Events that count for a node, each with the iteration it belongs to.
 
-    Iterations are counted by arrivals at the entry. A node whose last event is a failure has
-    failed, an end completes it, the run's own end closes what still runs, and a node that never
-    began is skipped.
+    Columns: run_id, node, sequence, kind, token, ts. An ``enter`` opens the next iteration unless its
+    token came before; other events belong to the one open. A node that fires before anything entered
+    has had iteration 0. Windows are per (run, node).
     """
+    known = events.where(F.col("node").isNotNull() & F.col("kind").isin("enter", "fail", *_FIRES))
+    again = F.row_number().over(Window.partitionBy("run_id", "node", "kind", "token").orderBy("sequence")) > 1
+    rows = known.withColumn("_again", (F.col("kind") == "enter") & F.col("token").isNotNull() & again).where("not _again").drop("_again")
     order = Window.partitionBy("run_id", "node").orderBy("sequence")
-    rows = events.withColumn("iteration", F.sum(F.when(F.col("kind") == "enter", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    state = F.when(F.bool_or(F.col("kind") == "fail"), "failed").when(F.bool_or(F.col("kind") == "exit"), "completed").when(F.bool_or(F.col("kind") == "enter"), "running").otherwise("skipped")
-    folded = rows.where("node is not null").groupBy("run_id", "node", "iteration").agg(state.alias("state"), F.max("sequence").alias("last_sequence"))
-    ended = events.where("kind = 'run_end'").groupBy("run_id").agg(F.max("sequence").alias("end_sequence"))
-    closed = F.when((F.col("state") == "running") & F.col("end_sequence").isNotNull(), "completed").otherwise(F.col("state"))
-    return folded.join(ended, "run_id", "left").withColumn("state", closed).drop("end_sequence")
+    entered = F.count_if(F.col("kind") == "enter").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.first("kind").over(order.rowsBetween(Window.unboundedPreceding, 0)).isin(*_FIRES).cast("long")
+    return rows.withColumn("iteration", F.when(entered == 0, F.lit(0).cast("long")).otherwise(entered - 1 + before))
+
+
+def step_executions(events: DataFrame) -> DataFrame:
+    """State of each (run, node, iteration): pending, running, completed, failed or skipped.
+
+    A failure stays whatever follows, an output completes, a firing runs, an arrival alone waits. The
+    first end of the run closes what is still open: failed for ``run_failed``, skipped for ``run_end``.
+    Which of them came first within an iteration doesn't matter, so one aggregation does it.
+    """
+    seen = lambda kinds: F.bool_or(F.col("kind").isin(*kinds))
+    last = lambda kinds: F.max_by("ts", F.when(F.col("kind").isin(*kinds), F.col("sequence")))
+    state = F.when(seen(_FAILS), "failed").when(seen(("output",)), "completed").when(seen(_FIRES), "running").otherwise("pending")
+    rows = step_iterations(events).groupBy("run_id", "node", "iteration").agg(
+        state.alias("state"), F.min_by("ts", "sequence").alias("started_at"), F.coalesce(last(_FAILS), last(("output",))).alias("completed_at"),
+        F.coalesce(F.max(F.when(F.col("kind") != "enter", F.col("sequence"))), F.lit(0)).cast("long").alias("last_sequence"),
+    )
+    still = F.col("state").isin("pending", "running") & F.col("end_state").isNotNull()
+    closed = {"state": F.when(still, F.col("end_state")).otherwise(F.col("state")), "completed_at": F.when(still, F.coalesce("completed_at", "end_at")).otherwise(F.col("completed_at"))}
+    return rows.join(run_ends(events), "run_id", "left").withColumns(closed).drop("end_state", "end_at")
+
+
+def run_ends(events: DataFrame) -> DataFrame:
+    """The first end of each run: run_id, end_state of what it closes, end_at."""
+    ends = events.where(F.col("kind").isin("run_end", "run_failed")).groupBy("run_id").agg(F.min_by(F.struct("kind", "ts"), "sequence").alias("e"))
+    return ends.select("run_id", F.when(F.col("e.kind") == "run_failed", "failed").otherwise("skipped").alias("end_state"), F.col("e.ts").alias("end_at"))
+
+
+def unreached(events: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Nodes (run_id, node) of ended runs that no event reached, as skipped rows of iteration 0."""
+    ended = nodes.join(run_ends(events).select("run_id"), "run_id", "left_semi")
+    reached = events.where(F.col("kind").isin("enter", "fail", *_FIRES)).select("run_id", "node")
+    none = F.lit(None).cast(events.schema["ts"].dataType)
+    return ended.join(reached, ["run_id", "node"], "left_anti").select("run_id", "node", F.lit(0).cast("long").alias("iteration"), F.lit("skipped").alias("state"), none.alias("started_at"), none.alias("completed_at"), F.lit(0).cast("long").alias("last_sequence"))
+
+
+# What a job's last status makes of its grant.
+JOB_STATES = {"completed": "released", "failed": "failed", "lost": "failed", "cancelled": "released", "timed_out": "expired"}
 
 
 def allocations(events: DataFrame) -> DataFrame:
-    """Last state of each grant: held, released, or what its accounting says."""
-    state = F.when(F.count_if(F.col("kind") == "accounting_failed") > 0, "failed").when(F.count_if(F.col("kind") == "expire") > 0, "expired").when(F.count_if(F.col("kind") == "release") > 0, "released").otherwise("held")
-    return events.groupBy("grant").agg(state.alias("state"), F.max("sequence").alias("last_sequence"), F.coalesce(F.sum("cost"), F.lit(0)).alias("cost"))
+    """Each grant as its events leave it: held, released, failed or expired.
+
+    Columns: grant, alloc_id, sequence, kind (acquire, release, account), job_status, cpu_seconds, ts. A
+    release without a grant goes to the first grant that held its alloc_id then. Accounts before the
+    grant is known are dropped; the last final job status overrules a release, and nothing goes back to held.
+    """
+    named = events.where("grant is not null")
+    later = F.lead("sequence").over(Window.partitionBy("grant").orderBy("sequence"))
+    held = named.where("kind = 'acquire' and alloc_id is not null").select("grant", "alloc_id", F.col("sequence").alias("_from"), later.alias("_to"))
+    lost = events.where("grant is null and kind = 'release' and alloc_id is not null").drop("grant")
+    within = (F.col("sequence") > F.col("_from")) & (F.col("_to").isNull() | (F.col("sequence") < F.col("_to")))
+    found = lost.join(held, "alloc_id").where(within).groupBy(*lost.columns).agg(F.min("grant").alias("grant"))
+    known = named.unionByName(found.select(*named.columns))
+
+    opened = F.min(F.when(F.col("kind") != "account", F.col("sequence"))).over(Window.partitionBy("grant"))
+    rows = known.withColumn("_open", opened).where("_open is not null and (kind <> 'account' or sequence > _open)")
+    final = F.when(F.col("kind") == "account", F.element_at(F.create_map(*(F.lit(x) for kv in JOB_STATES.items() for x in kv)), F.col("job_status")))
+    rows = rows.withColumn("_final", final)
+    newest = lambda value, test: F.max_by(value, F.when(test, F.col("sequence")))
+    acquired, released = F.col("kind") == "acquire", F.col("kind") == "release"
+    return rows.groupBy("grant").agg(
+        F.coalesce(newest("_final", F.col("_final").isNotNull()), F.when(F.bool_or(released), "released"), F.lit("held")).alias("state"),
+        newest("alloc_id", acquired & F.col("alloc_id").isNotNull()).alias("alloc_id"),
+        F.min_by("ts", F.when(acquired, F.col("sequence"))).alias("acquired_at"),
+        F.coalesce(newest("ts", released), F.min_by("ts", F.when(F.col("_final").isNotNull(), F.col("sequence")))).alias("released_at"),
+        newest("cpu_seconds", (F.col("kind") == "account") & F.col("cpu_seconds").isNotNull()).alias("cpu_seconds"),
+        newest("job_status", (F.col("_final") == "failed")).alias("last_error"),
+        F.max("sequence").alias("last_sequence"),
+    )
 
 
 def chain_breaks(log: DataFrame) -> DataFrame:
