@@ -31,7 +31,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _columns(sql: str) -> list[str]:
+def columns(sql: str) -> list[str]:
     """The columns of a select list that Spark and its twin share; commas inside brackets don't part them."""
     return [c for c in re.split(r",\s(?![^()]*\))", " ".join(sql.split())) if c]
 
@@ -467,11 +467,11 @@ def guarded_upsert(spark, sf_dir):
     return projections.guarded_upsert(rows.union(rows.where("event_id % 3 = 0")), ["process_id", "key"], "event_id")
 
 
-_STEP_EVENTS = """process_id as run_id, case when event_id % 97 = 0 then null else concat('n', event_id % 3) end as node, event_id as sequence, event_id % 7 as token, ts,
+STEP_EVENTS = """process_id as run_id, case when event_id % 97 = 0 then null else concat('n', event_id % 3) end as node, event_id as sequence, event_id % 7 as token, ts,
     case when event_id % 97 = 0 then case when event_id % 2 = 0 then 'run_failed' else 'run_end' end when key = 'error' then 'fail' when key = 'purchase' then 'output' when key = 'view' then 'enter' when key = 'click' then 'fire' else 'other' end as kind"""
 
 
-@query("step_execution_fold", f"""WITH ev AS (SELECT {_STEP_EVENTS} FROM v_metrics),
+STEP_SQL = f"""WITH ev AS (SELECT {STEP_EVENTS} FROM v_metrics),
     k AS (SELECT * FROM ev WHERE node IS NOT NULL AND kind <> 'other' QUALIFY kind <> 'enter' OR row_number() OVER (PARTITION BY run_id, node, kind, token ORDER BY sequence) = 1),
     c AS (SELECT *, COUNT(*) FILTER (WHERE kind = 'enter') OVER w AS entered, first_value(kind) OVER w AS f FROM k WINDOW w AS (PARTITION BY run_id, node ORDER BY sequence ROWS UNBOUNDED PRECEDING)),
     st AS (SELECT run_id, node, CAST(CASE WHEN entered = 0 THEN 0 ELSE entered - 1 + CASE WHEN f IN ('fire', 'output') THEN 1 ELSE 0 END END AS BIGINT) AS iteration, arg_min(ts, sequence) AS started_at,
@@ -479,11 +479,13 @@ _STEP_EVENTS = """process_id as run_id, case when event_id % 97 = 0 then null el
         CASE WHEN bool_or(kind = 'fail') THEN 'failed' WHEN bool_or(kind = 'output') THEN 'completed' WHEN bool_or(kind = 'fire') THEN 'running' ELSE 'pending' END AS s FROM c GROUP BY 1, 2, 3),
     e AS (SELECT run_id, CASE WHEN arg_min(kind, sequence) = 'run_failed' THEN 'failed' ELSE 'skipped' END AS end_state, arg_min(ts, sequence) AS end_at FROM ev WHERE node IS NULL GROUP BY 1),
     n AS (SELECT DISTINCT run_id, 'n' || CAST(i AS STRING) AS node FROM e, range(5) t(i))
-    SELECT run_id, node, iteration, CASE WHEN s IN ('pending', 'running') THEN COALESCE(end_state, s) ELSE s END AS state, started_at, CASE WHEN s IN ('pending', 'running') THEN end_at ELSE done_at END AS completed_at, last_sequence FROM st LEFT JOIN e USING (run_id)
-    UNION ALL SELECT run_id, node, 0, 'skipped', NULL, NULL, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.run_id = n.run_id AND k.node = n.node)""")
+    SELECT run_id, node, iteration, CASE WHEN s IN ('pending', 'running') THEN COALESCE(end_state, s) ELSE s END AS state, started_at, CASE WHEN s IN ('pending', 'running') THEN end_at ELSE done_at END AS completed_at, last_sequence FROM st LEFT JOIN e USING (run_id)"""
+
+
+@query("step_execution_fold", STEP_SQL + """ UNION ALL SELECT run_id, node, 0, 'skipped', NULL, NULL, 0 FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.run_id = n.run_id AND k.node = n.node)""")
 def step_execution_fold(spark, sf_dir):
     """Runs of five nodes of which events reach three."""
-    events = view(spark, sf_dir, "metrics").selectExpr(*_columns(_STEP_EVENTS))
+    events = view(spark, sf_dir, "metrics").selectExpr(*columns(STEP_EVENTS))
     nodes = events.select("run_id").distinct().select("run_id", F.explode(F.array(*(F.lit(f"n{k}") for k in range(5)))).alias("node"))
     return projections.step_executions(events).unionByName(projections.unreached(events, nodes))
 
@@ -502,7 +504,7 @@ _GRANT_EVENTS = """case when key = 'purchase' and event_id % 2 = 0 then null els
     FROM o WHERE kind <> 'account' OR sequence > opened GROUP BY 1""")
 def allocation_fold(spark, sf_dir):
     """Grants by process; every other release knows only the allocation."""
-    events = view(spark, sf_dir, "metrics").selectExpr(*_columns(_GRANT_EVENTS)).withColumnRenamed("grant_id", "grant")
+    events = view(spark, sf_dir, "metrics").selectExpr(*columns(_GRANT_EVENTS)).withColumnRenamed("grant_id", "grant")
     return projections.allocations(events).withColumnRenamed("grant", "grant_id")
 
 

@@ -60,4 +60,5 @@ def started_stream(triggers: DataFrame, policy: str) -> DataFrame:
         state.update((active, waiting))
         yield pd.DataFrame([(key[0], *b) for b in begun], columns=["key", "seq", "started"])
 
-    return triggers.groupBy("key").applyInPandasWithState(step, "key string, seq long, started string", "active boolean, waiting array<string>", "append", GroupStateTimeout.NoTimeout)
+    made = f"key {triggers.schema['key'].dataType.simpleString()}, seq long, started string"
+    return triggers.groupBy("key").applyInPandasWithState(step, made, "active boolean, waiting array<string>", "append", GroupStateTimeout.NoTimeout)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,10 +98,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 NOW = "2026-06-10 12:00:00"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A logical table as a DataFrame; no temporary view stays behind."""
+def view(spark: SparkSession, sf_dir: str, name: str, read: Callable[[SparkSession, str, str], DataFrame] | None = None) -> DataFrame:
+    """A logical table as a DataFrame; no temporary view stays behind. ``read`` may bring its tables as streams."""
     tables, sql = VIEWS[name]
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
+    frames = {t: read(spark, sf_dir, t) if read else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
     text = sql.replace("{digest}", "sha2(text, 256)")
     for t in tables:
         text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", text)

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tarnwood import catalog_queries, graph_queries, merge_queries, read_queries  # noqa: F401  (registers its queries)
+from tarnwood import catalog_queries, graph_queries, merge_queries, read_queries, stream_queries  # noqa: F401  (registers its queries)
 
 
 def rows_of(columns, rows):
