@@ -189,9 +189,9 @@ def inventory_upsert(spark, sf_dir):
     return inventory.upsert(old, new, ["server", "path"], {"size": "new", "owner": "fill"})
 
 
-@query("duplicate_groups", "SELECT content_hash, COUNT(*) AS n_copies, array_to_string(list_sort(list(server || ':' || path)), ';') AS copies, bool_or(is_canonical) AS has_canonical FROM v_file_inventory GROUP BY 1 HAVING COUNT(*) > 1")
+@query("duplicate_groups", "SELECT content_hash, server, path, COUNT(*) OVER w AS n_copies, bool_or(is_canonical) OVER w AS has_canonical FROM v_file_inventory WHERE content_hash IS NOT NULL WINDOW w AS (PARTITION BY content_hash) QUALIFY COUNT(*) OVER w > 1")
 def duplicate_groups(spark, sf_dir):
-    return inventory.duplicate_groups(view(spark, sf_dir, "file_inventory")).withColumn("copies", F.array_join("copies", ";"))
+    return inventory.duplicate_groups(view(spark, sf_dir, "file_inventory"))
 
 
 @query("mark_canonical", "SELECT doc_id, r = 1 AS now_canonical FROM (SELECT *, COUNT(*) OVER (PARTITION BY content_hash) AS n, row_number() OVER (PARTITION BY content_hash ORDER BY server, path) AS r FROM v_file_inventory) WHERE n > 1 AND (r = 1) <> is_canonical")

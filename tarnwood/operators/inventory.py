@@ -67,9 +67,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str
 
 
 def duplicate_groups(files: DataFrame) -> DataFrame:
-    """Contents held more than once; copies as an ordered list."""
-    held = files.where("content_hash is not null").groupBy("content_hash")
-    return held.agg(F.count("*").alias("n_copies"), F.sort_array(F.collect_list(F.concat_ws(":", "server", "path"))).alias("copies"), F.bool_or("is_canonical").alias("has_canonical")).where("n_copies > 1")
+    """The copies of contents held more than once: a row each, with their content's count and whether one is canonical.
+
+    Counts are combined before the shuffle, and the join back may be split where one content has very many copies.
+    """
+    held = files.where("content_hash is not null")
+    groups = held.groupBy("content_hash").agg(F.count("*").alias("n_copies"), F.bool_or("is_canonical").alias("has_canonical")).where("n_copies > 1")
+    return held.select("content_hash", "server", "path").join(groups, "content_hash")
 
 
 def canonical_changes(files: DataFrame) -> DataFrame:

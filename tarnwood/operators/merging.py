@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,10 +78,14 @@ def reply_routes(tokens: DataFrame, binding: str, route: str) -> DataFrame:
 
 def channel_gather(messages: DataFrame, episode: str, kind: str, index: str, value: str) -> DataFrame:
     """Items of each episode whose close message's count they reach, in order; a count of 0 gives ``[]``."""
-    closed = F.max(F.when(F.col(kind) == "close", F.col(value)))
-    items = F.sort_array(F.collect_list(F.when(F.col(kind) == "item", F.struct(index, value))))
-    got = messages.groupBy(episode).agg(closed.alias("expected"), items.alias("_items")).where(F.size("_items") >= F.col("expected"))
-    return got.select(episode, "expected", F.transform(F.slice("_items", F.lit(1), F.col("expected").cast("int")), lambda i: i[value]).alias("vals"))
+    closed = messages.where(F.col(kind) == "close").groupBy(episode).agg(F.max(value).alias("expected")).where("expected is not null")
+    # Only as many items as are asked for are gathered, however many an episode has.
+    turn = F.row_number().over(Window.partitionBy(episode).orderBy(index, value))
+    items = messages.where(F.col(kind) == "item").withColumn("_turn", turn).join(closed, episode).where("_turn <= expected")
+    got = items.groupBy(episode).agg(F.sort_array(F.collect_list(F.struct(index, value))).alias("_items"))
+    whole = closed.join(got, episode, "left").where((F.col("expected") <= 0) | (F.size("_items") == F.col("expected")))
+    empty = F.array().cast(T.ArrayType(messages.schema[value].dataType))
+    return whole.select(episode, "expected", F.coalesce(F.transform("_items", lambda i: i[value]), empty).alias("vals"))
 
 
 def expired(seen: DataFrame, key: str, at: str, now: int, ttl: int) -> DataFrame:

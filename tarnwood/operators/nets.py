@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwood.plans import lineage
+
 
 def select_transition(candidates: DataFrame) -> DataFrame:
     """Per net the transition that fires next: enabled first, then most inputs, then highest priority, then id.
@@ -16,8 +18,10 @@ def select_transition(candidates: DataFrame) -> DataFrame:
 
 
 def match_key(value: Column) -> Column:
-    """Join key under which 1 equals 1.0; for numbers only."""
-    return value.cast("double")
+    """Join key under which 1 equals 1.0; for numbers only. Whole numbers keep all their digits."""
+    real = value.cast("double")
+    whole = (real % 1 == 0) & (F.abs(real) < 9e18)
+    return F.when(whole, value.cast("bigint").cast("string")).otherwise(real.cast("string"))
 
 
 def guarded_join(first: DataFrame, others: list[tuple[DataFrame, str]], key: str, guard: Column, seqs: list[str]) -> DataFrame:
@@ -82,8 +86,9 @@ def graph_shape(spark, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.sum("n").alias("n_nodes"), F.sum(F.when(F.col("kind") == "sub_workflow", F.col("n")).otherwise(0)).alias("n_sub"), F.bool_or(F.col("kind").isin("loop", "map")).alias("has_loops"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("kinds"),
     )
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    depth = spark.sql(
+    limit = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    up = spark.sql(
         """WITH RECURSIVE up(graph, parent, depth, most) AS (
              SELECT n.graph, n.parent, 1, c.n_nodes FROM {nodes} n JOIN {counts} c ON n.graph = c.graph WHERE n.parent IS NOT NULL
              UNION ALL
@@ -91,6 +96,11 @@ def graph_shape(spark, nodes: DataFrame, edges: DataFrame) -> DataFrame:
            SELECT graph, max(depth) AS depth FROM up GROUP BY graph""",
         nodes=nodes, counts=counts,
     )
+    try:  # The limit is read when the recursion runs, and no other query is to see it lifted.
+        spark.conf.set(limit, "-1")
+        depth = lineage.cut(up)
+    finally:
+        spark.conf.set(limit, before)
     wires = edges.groupBy("graph").agg(F.count("*").alias("n_edges"))
     return counts.join(depth, "graph", "left").join(wires, "graph", "left").na.fill(0, ["depth", "n_edges"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwood.functions.expressions import LATENCY_BOUNDS, bucket_start
@@ -26,9 +26,11 @@ def run_series(rollup: DataFrame, width: int) -> DataFrame:
     return wide.agg(count("success").alias("n_success"), count("failure").alias("n_failure"), F.try_divide(F.sum("sum_ms"), F.sum("n_ms")).alias("mean_ms"))
 
 
-def percentiles(runs: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    exact = lambda p: F.percentile(value, p)
-    return runs.groupBy(*keys).agg(F.count(value).alias("n"), exact(0.5).alias("p50"), exact(0.95).alias("p95"))
+def percentiles(runs: DataFrame, value: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
+    """Median and 95th percentile per group. Exact ones hold a group's distinct values in one buffer;
+    with ``accuracy`` they come from a sketch of that size."""
+    at = (lambda p: F.percentile(value, p)) if accuracy is None else (lambda p: F.percentile_approx(value, p, accuracy))
+    return runs.groupBy(*keys).agg(F.count(value).alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
 def node_rollup(steps: DataFrame) -> DataFrame:
@@ -84,11 +86,3 @@ def rollup_users(runs: DataFrame) -> DataFrame:
 def merge_rollup(old: DataFrame, new: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Incremental merge: counts and sums of both sides add up."""
     return old.unionByName(new).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
-
-
-def graph_shape(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("kind").agg(F.count("*").alias("n"))
-
-
-def running_rank(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwood.plans import lineage
+
 # Format by file name suffix.
 FORMATS: dict[str, str] = {
     **dict.fromkeys(("csv", "tsv", "tab"), "csv"), **dict.fromkeys(("parquet", "pq"), "parquet"), **dict.fromkeys(("json", "jsonl", "ndjson"), "json"), **dict.fromkeys(("arrow", "arrows", "ipc", "feather"), "arrow"),
@@ -35,13 +37,16 @@ def exposition(lines: DataFrame) -> DataFrame:
     """name, labels and value of a text exposition; comments and broken lines are left out."""
     form = r"^([a-zA-Z_:][\w:]*)(?:\{(.*)\})?\s+(\S+)(?:\s+\d+)?$"
     got = lines.select(*(F.regexp_extract("value", form, k).alias(n) for k, n in ((1, "name"), (2, "labels"), (3, "v"))))
-    pairs = F.when(F.col("labels") != "", F.str_to_map(F.regexp_replace("labels", '"', ""), F.lit(","), F.lit("=")))
+    pair = r'([a-zA-Z_]\w*)\s*=\s*"((?:[^"\\]|\\.)*)"'
+    part = lambda k: F.regexp_extract_all("labels", F.lit(pair), k)
+    plain = lambda v: F.regexp_replace(F.regexp_replace(v, r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), r"\\(.)", "$1")
+    pairs = F.when(F.col("labels") != "", F.map_from_arrays(part(1), F.transform(part(2), plain)))
     return got.where("name <> ''").select("name", pairs.alias("labels"), F.expr("try_cast(v as double)").alias("value"))
 
 
 def bounded_query(spark: SparkSession, sql: str, args: dict, most: int) -> tuple[DataFrame, bool]:
     """A parametrised statement with at most ``most`` rows, and whether more were there."""
-    rows = spark.sql(sql, args=args).limit(most + 1)
+    rows = lineage.cut(spark.sql(sql, args=args).limit(most + 1))
     return rows.limit(most), rows.count() > most
 
 

@@ -20,6 +20,11 @@ def test_exposition(spark):
     assert got["reqs"] == ({"model": "a", "zone": "z"}, 12.0) and got["up"] == (None, 1.0) and set(got) == {"reqs", "up", "nan_one"}
 
 
+def test_exposition_labels_hold_commas_and_quotes(spark):
+    rows = [(r'm{a="x,y=1",b="say \"hi\"",c="a\\n",d="e\nf"} 1',)]
+    assert files.exposition(spark.createDataFrame(rows, "value string")).first().labels == {"a": "x,y=1", "b": 'say "hi"', "c": "a\\n", "d": "e\nf"}
+
+
 def test_bounded_query(spark):
     rows, more = files.bounded_query(spark, "select id from range(:n)", {"n": 7}, 5)
     assert rows.count() == 5 and more

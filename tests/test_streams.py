@@ -4,7 +4,8 @@ from datetime import datetime
 
 import pandas as pd
 
-from tarnwood.streaming import folds
+from tarnwood.operators import projections
+from tarnwood.streaming import folds, steps
 
 
 def run(spark, tmp_path, rows, schema, made, mode):
@@ -50,3 +51,47 @@ def test_dedup_within_window(spark, tmp_path):
     rows = [("k", i % 3, datetime(2024, 1, 1, 0, 0, i)) for i in range(9)]
     got = run(spark, tmp_path, rows, "place string, id long, ts timestamp", lambda s: folds.dedup_stream(s, ["place", "id"], "ts", "2 minutes"), "append")
     assert sorted(r.id for r in got.collect()) == [0, 1, 2]
+
+
+def _at(k):
+    return datetime(2024, 1, 1, 0, 0, k)
+
+
+STEP = "run_id string, node string, sequence long, kind string, token long, ts timestamp"
+
+
+def test_steps_by_the_states_they_go_through(spark, tmp_path):
+    rows = [
+        ("r", "a", 1, "enter", 7, _at(1)), ("r", "a", 2, "enter", 7, _at(2)), ("r", "a", 3, "fire", None, _at(3)), ("r", "a", 4, "output", None, _at(4)),
+        ("r", "a", 5, "enter", 8, _at(5)), ("r", "a", 6, "fail", None, _at(6)), ("r", "a", 7, "output", None, _at(7)), ("r", "b", 8, "fire", None, _at(8)),
+        ("r", "b", 9, "enter", 9, _at(9)), ("s", "a", 10, "enter", None, _at(10)), ("r", None, 11, "run_failed", None, _at(11)), ("r", None, 12, "run_end", None, _at(12)),
+        ("t", "c", 13, "fail", None, _at(13)), ("t", "c", 14, "enter", 1, _at(14)), ("t", None, 15, "run_end", None, _at(15)),
+    ]
+    want = {
+        ("r", "a", 0, "completed", _at(1), _at(4), 4), ("r", "a", 1, "failed", _at(5), _at(6), 7), ("r", "b", 0, "failed", _at(8), _at(11), 8),
+        ("r", "b", 1, "failed", _at(9), _at(11), 0), ("s", "a", 0, "pending", _at(10), None, 0), ("t", "c", 0, "failed", _at(13), _at(13), 13),
+    }
+    events = spark.createDataFrame(rows, STEP)
+    names = ["run_id", "node", "iteration", "state", "started_at", "completed_at", "last_sequence"]
+    assert {tuple(r) for r in projections.step_executions(events).select(*names).collect()} == want
+    nodes = spark.createDataFrame([(r, n) for r in "rs" for n in "az"], "run_id string, node string")
+    assert [(r.run_id, r.node, r.state) for r in projections.unreached(events, nodes).collect()] == [("r", "z", "skipped")]
+    # Rows that come again in a later batch change nothing.
+    again = rows[:7] + rows[2:7] + rows[7:]
+    got = run(spark, tmp_path, again, STEP, steps.step_stream, "update").collect()
+    newest = {(r.run_id, r.node, r.iteration): r for r in sorted(got, key=lambda r: r.seen)}
+    assert {tuple(r[n] for n in names) for r in newest.values()} == want
+
+
+def test_grants(spark):
+    rows = [
+        ("g1", 5, 1, "acquire", None, None, 1), ("g1", None, 2, "account", "running", 3, 2), (None, 5, 3, "release", None, None, 3), ("g1", None, 4, "account", "lost", None, 4),
+        ("g2", None, 5, "account", "failed", 9, 5), ("g2", 6, 6, "acquire", None, None, 6), ("g3", None, 7, "release", None, None, 7), ("g3", 8, 8, "acquire", None, None, 8),
+        (None, 99, 9, "release", None, None, 9), ("g4", None, 10, "account", "timed_out", None, 10), ("g5", 1, 11, "acquire", None, None, 11), ("g5", None, 12, "account", "timed_out", 4, 12),
+    ]
+    events = spark.createDataFrame([(*r[:6], _at(r[6])) for r in rows], "grant string, alloc_id long, sequence long, kind string, job_status string, cpu_seconds long, ts timestamp")
+    got = {r.grant: (r.state, r.alloc_id, r.acquired_at, r.released_at, r.cpu_seconds, r.last_error, r.last_sequence) for r in projections.allocations(events).collect()}
+    assert got == {
+        "g1": ("failed", 5, _at(1), _at(3), 3, "lost", 4), "g2": ("held", 6, _at(6), None, None, None, 6),
+        "g3": ("released", 8, _at(8), _at(7), None, None, 8), "g5": ("expired", 1, _at(11), _at(12), 4, None, 12),
+    }
