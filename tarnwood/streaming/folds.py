@@ -24,7 +24,10 @@ def fold_rows(state: tuple[int, float, int], rows: pd.DataFrame) -> tuple[int, f
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """Running (key, total, n, last_seq) of a stream of (key, seq, value); one row per key and batch."""
+    """Running (key, total, n, last_seq) of a stream of (key, seq, value); one row per key and batch.
+
+    Equal to ``fold_batch`` where a key's events come in order over the batches; later ones count as seen.
+    """
 
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         # Sequences of one key may be spread over chunks of a batch, so they are joined first.
