@@ -75,10 +75,28 @@ def unreached(events: DataFrame, nodes: DataFrame) -> DataFrame:
 JOB_STATES = {"completed": "released", "failed": "failed", "lost": "failed", "cancelled": "released", "timed_out": "expired"}
 
 
+def first_holders(releases: DataFrame, held: DataFrame) -> DataFrame:
+    """(alloc_id, sequence, grant): the first grant that held a released alloc_id at that sequence.
+
+    A grant holds alloc_id after ``_from`` and before ``_to``, or for good where that is null. What it
+    holds is cut into blocks of 2^level whole numbers, at most two of each level, and a block keeps
+    its first grant; a release lies in one block of each level. So rows grow with the events times
+    the levels, however many grants hold the same alloc_id at once.
+    """
+    ends = F.broadcast(releases.agg(F.min("sequence").alias("_least"), F.max("sequence").alias("_most")))  # one row
+    levels = lambda size: F.explode(F.sequence(F.lit(0), F.length(F.bin(size)) - 1)).alias("_level")
+    within = held.join(ends).select("alloc_id", "grant", F.greatest(F.col("_from") + 1, "_least").alias("_low"), F.least("_to", F.col("_most") + 1).alias("_high")).where("_low < _high")
+    scaled = within.select("alloc_id", "grant", "_low", "_high", levels(F.col("_high") - F.col("_low"))).withColumns({"_low": F.expr("-shiftright(-_low, _level)"), "_high": F.expr("shiftright(_high, _level)")})
+    loose = F.array_compact(F.array(F.expr("if((_low & 1) = 1, _low, null)"), F.expr("if((_high & 1) = 1, _high - 1, null)")))
+    blocks = scaled.where("_low < _high").select("alloc_id", "grant", "_level", F.explode(loose).alias("_block")).groupBy("alloc_id", "_level", "_block").agg(F.min("grant").alias("grant"))
+    asked = releases.select("alloc_id", "sequence").distinct().join(ends).select("alloc_id", "sequence", levels(F.col("_most") + 1 - F.col("_least"))).withColumn("_block", F.expr("shiftright(sequence, _level)"))
+    return asked.join(blocks, ["alloc_id", "_level", "_block"]).groupBy("alloc_id", "sequence").agg(F.min("grant").alias("grant"))
+
+
 def allocations(events: DataFrame) -> DataFrame:
     """Each grant as its events leave it: held, released, failed or expired.
 
-    Columns: grant, alloc_id, sequence, kind (acquire, release, account), job_status, cpu_seconds, ts. A
+    Columns: grant, alloc_id, sequence (long), kind (acquire, release, account), job_status, cpu_seconds, ts. A
     release without a grant goes to the first grant that held its alloc_id then. Accounts before the
     grant is known are dropped; the last final job status overrules a release, and nothing goes back to held.
     """
@@ -86,8 +104,7 @@ def allocations(events: DataFrame) -> DataFrame:
     later = F.lead("sequence").over(Window.partitionBy("grant").orderBy("sequence"))
     held = named.where("kind = 'acquire' and alloc_id is not null").select("grant", "alloc_id", F.col("sequence").alias("_from"), later.alias("_to"))
     lost = events.where("grant is null and kind = 'release' and alloc_id is not null").drop("grant")
-    within = (F.col("sequence") > F.col("_from")) & (F.col("_to").isNull() | (F.col("sequence") < F.col("_to")))
-    found = lost.join(held, "alloc_id").where(within).groupBy(*lost.columns).agg(F.min("grant").alias("grant"))
+    found = lost.distinct().join(first_holders(lost, held), ["alloc_id", "sequence"])
     known = named.unionByName(found.select(*named.columns))
 
     opened = F.min(F.when(F.col("kind") != "account", F.col("sequence"))).over(Window.partitionBy("grant"))

@@ -83,6 +83,23 @@ def test_steps_by_the_states_they_go_through(spark, tmp_path):
     assert {tuple(r[n] for n in names) for r in newest.values()} == want
 
 
+def test_first_holders_without_pairs(spark):
+    """Ten thousand grants hold one allocation at 500 releases; no join compares sequences, which would form the pairs."""
+    held = spark.range(10000).selectExpr("concat('g', id) as grant", "1L as alloc_id", "id % 700 - 350 as _from", "if(id % 3 = 0, null, id % 700 - 350 + id % 97) as _to")
+    releases = spark.range(500).selectExpr("1L as alloc_id", "id * 2 - 400 as sequence")
+    found = projections.first_holders(releases, held)
+    want = {}
+    spans = [(r.grant, r._from, r._to) for r in held.collect()]
+    for at in (r.sequence for r in releases.collect()):
+        holding = [g for g, a, b in spans if a < at and (b is None or at < b)]
+        if holding:
+            want[at] = min(holding)
+    assert {r.sequence: r.grant for r in found.collect()} == want and found.count() == len(want)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x and "rightHint" not in x]  # one row has the hint
+    assert joins and not any(" < " in x or " > " in x for x in joins)
+    assert projections.first_holders(releases.limit(0), held).count() == 0 and projections.first_holders(releases, held.limit(0)).count() == 0
+
+
 def test_grants(spark):
     rows = [
         ("g1", 5, 1, "acquire", None, None, 1), ("g1", None, 2, "account", "running", 3, 2), (None, 5, 3, "release", None, None, 3), ("g1", None, 4, "account", "lost", None, 4),
