@@ -380,9 +380,9 @@ def join_correlated_fifo(spark, sf_dir):
 
 @query("join_theta_first", "SELECT a.seq AS l_seq, MIN(b.seq) AS r_seq FROM v_tokens a JOIN v_tokens b ON a.k = b.k AND b.value > a.value WHERE a.place = 'signup' AND b.place = 'purchase' GROUP BY 1")
 def join_theta_first(spark, sf_dir):
-    left = _place(spark, sf_dir, "signup").select(F.col("seq").alias("l_seq"), F.col("k").alias("lk"), F.col("value").alias("lv"))
-    right = _place(spark, sf_dir, "purchase").select(F.col("seq").alias("r_seq"), F.col("k").alias("rk"), F.col("value").alias("rv"))
-    return dataflow.first_match(left, right, (F.col("lk") == F.col("rk")) & (F.col("rv") > F.col("lv")), "l_seq", "r_seq")
+    left = _place(spark, sf_dir, "signup").select(F.col("seq").alias("l_seq"), "k", "value")
+    right = _place(spark, sf_dir, "purchase").select(F.col("seq").alias("r_seq"), "k", "value")
+    return dataflow.first_above(left, right, "k", "value", "l_seq", "r_seq")
 
 
 @query("latest_read_join", "SELECT seq, (SELECT arg_max(value, seq) FROM v_tokens WHERE place = 'signup') AS latest FROM v_tokens WHERE place = 'error'")

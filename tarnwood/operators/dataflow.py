@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwood.plans.lineage import cut
+
 
 def _numbered(place: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return place.withColumn("_turn", F.row_number().over(Window.partitionBy(*keys).orderBy(seq)))
@@ -20,12 +22,34 @@ def fifo_join(left: DataFrame, right: DataFrame, on: str, seq: str = "seq") -> D
 def first_match(left: DataFrame, right: DataFrame, guard: Column, left_seq: str, right_seq: str) -> DataFrame:
     """For each left token the earliest right token for which the guard holds.
 
-    Both orders are total; equality parts of the guard become join keys.
+    Both orders are total; equality parts of the guard become join keys. Any guard will do, so the
+    pairs of equal keys are formed; ``first_above`` is for one comparison and forms none.
     """
     found = left.join(right, guard).groupBy(left_seq).agg(F.min(right_seq).alias(right_seq))
     return found
 
 
+def first_above(left: DataFrame, right: DataFrame, key: str, value: str, left_seq: str, right_seq: str) -> DataFrame:
+    """``first_match`` where the keys are equal and the right ``value`` is greater.
+
+    Both places stand in one order, greatest value first and left before right where values are
+    equal: the least ``right_seq`` so far is the match. Spark deals that order out by ranges, so a
+    frequent key is many tasks' work; what the ranges before hold of a key is one row for each range.
+    """
+    none = lambda side, c: F.lit(None).cast(side.schema[c].dataType).alias(c)
+    lefts = left.select(key, value, left_seq, none(right, right_seq), F.lit(False).alias("_right"))
+    rights = right.select(key, value, none(left, left_seq), right_seq, F.lit(True).alias("_right"))
+    tokens = lefts.unionByName(rights).where(F.col(key).isNotNull() & F.col(value).isNotNull())
+    # Kept in files: the ranges are drawn anew whenever the plan runs.
+    ranged = cut(tokens.repartitionByRange(key, F.desc(value), "_right", left_seq, right_seq).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy(key, "_range").agg(F.min(right_seq).alias("_least")).withColumn("_before", F.min("_least").over(earlier)).drop("_least")
+    here = Window.partitionBy(key, "_range").orderBy(F.desc(value), "_right").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranged.withColumn("_here", F.min(right_seq).over(here)).where("not _right").join(before, [key, "_range"])
+    found = rows.select(left_seq, F.least("_here", "_before").alias(right_seq)).where(F.col(right_seq).isNotNull())
+    return found.groupBy(left_seq).agg(F.min(right_seq).alias(right_seq))
+
+
 def latest_read(events: DataFrame, place: DataFrame, value: str, seq: str = "seq") -> DataFrame:
     """Every event with the newest token of a place; the token stays. One row is broadcast."""
     newest = place.agg(F.max_by(value, seq).alias("latest"))

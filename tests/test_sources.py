@@ -49,6 +49,26 @@ def test_first_match_equals_nested_loops(spark):
     assert got == want
 
 
+def test_first_above_equals_first_match_without_pairs(spark):
+    """Ties, nulls, NaN and zeros of both signs; one key over many ranges."""
+    odd = [None, float("nan"), 0.0, -0.0, 2.0]
+    left = spark.createDataFrame([(k, k % 2 or None, odd[k // 2 % 5] if k % 4 < 2 else float(k * 7 % 31)) for k in range(200)], "l long, k long, v double")
+    right = spark.createDataFrame([(k, k % 3 % 2, odd[k // 3 % 4] if k % 6 < 3 else float(k * 5 % 29)) for k in range(90, 300)], "r long, k long, v double")
+    renamed = right.selectExpr("r", "k as rk", "v as rv")
+    want = {tuple(x) for x in dataflow.first_match(left, renamed, (F.col("k") == F.col("rk")) & (F.col("rv") > F.col("v")), "l", "r").collect()}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for way in ("true", "false"):  # without it the ranges stay apart
+            spark.conf.set("spark.sql.adaptive.enabled", way)
+            found = dataflow.first_above(left, right, "k", "v", "l", "r")
+            assert len(want) > 50 and {tuple(x) for x in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not any(" < " in x or " > " in x for x in joins)
+    assert dataflow.first_above(left, right.limit(0), "k", "v", "l", "r").count() == 0
+
+
 def test_imports_replace_and_read_gzip(spark, tmp_path):
     import gzip
 
