@@ -76,13 +76,27 @@ def lineages(entries: DataFrame, cross: DataFrame, tokens: DataFrame, tags: Data
     above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.when(n < F.size(parts), F.array_join(F.slice(parts, 1, n), ":")))
     own = entries.select("process_id", "entry_id")
     by_job = entries.where("job_id is not null").select(F.explode(above).alias("process_id"), "entry_id")
-    touched = tokens.select(F.col("net").alias("egress_net"), F.col("seq").alias("egress_seq"), "token").join(tags.select("token", F.col("process").alias("process_id")), "token")
-    sent = cross.select("signal_key", "egress_net", "egress_seq").join(touched, ["egress_net", "egress_seq"]).select("signal_key", "process_id").distinct()
-    by_net = producers.join(processes.select("net_id", F.col("process_id").alias("_p")), F.col("source_net") == F.col("net_id")).select("content_hash", F.col("_p").alias("process_id"))
-    made = producers.select("content_hash", "process_id").where("process_id is not null").union(by_net).distinct()
+    touched = cross.select("signal_key", F.col("egress_net").alias("net"), F.col("egress_seq").alias("seq")).join(tokens.select("net", "seq", "token"), ["net", "seq"]).select("signal_key", "token").distinct()
+    sent = touched.join(tags.select("token", F.col("process").alias("process_id")), "token").select("signal_key", "process_id").distinct()
     by_signal = entries.select("signal_key", "entry_id").join(sent, "signal_key").select("process_id", "entry_id")
-    by_content = entries.select("content_hash", "entry_id").join(made, "content_hash").select("process_id", "entry_id")
-    return reduce(DataFrame.union, [own, by_job, by_signal, by_content]).where("process_id is not null").distinct()
+    by_net = producers.join(processes.select("net_id", F.col("process_id").alias("_p")), F.col("source_net") == F.col("net_id")).select("content_hash", F.col("_p").alias("process_id"))
+    made = producers.select("content_hash", "process_id").union(by_net).where("content_hash is not null and process_id is not null").distinct()
+    return _by_content(entries, made, reduce(DataFrame.union, [own, by_job, by_signal]).where("process_id is not null"))
+
+
+def _by_content(entries: DataFrame, made: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct (process_id, entry_id) of ``others`` and of entries with content that a process ``made``.
+
+    Most pairs come by content, each entry with all makers of its content. Those of an entry with one
+    content are distinct as they are and go through no shuffle; only other ways' pairs are looked up among them.
+    """
+    known = entries.where("content_hash is not null and entry_id is not null").groupBy("entry_id").agg(F.min("content_hash").alias("content_hash"), F.max("content_hash").alias("_last"))
+    single = known.where("content_hash = _last").select("entry_id", "content_hash")
+    several = entries.select("entry_id", "content_hash").join(known.where("content_hash <> _last").select("entry_id"), "entry_id", "left_semi").distinct()
+    nameless = entries.where("entry_id is null").select("entry_id", "content_hash").distinct()
+    more = several.union(nameless).join(made, "content_hash").select("process_id", "entry_id")
+    seen = others.join(single, "entry_id", "left").join(made.withColumn("_made", F.lit(True)), ["content_hash", "process_id"], "left").where("_made is null").select("process_id", "entry_id")
+    return single.join(made, "content_hash").select("process_id", "entry_id").union(seen.union(more).distinct())
 
 
 def lineage(entries: DataFrame, members: DataFrame, process: str, categories: list[str] = (), since: str | None = None, until: str | None = None, most: int = 5000) -> DataFrame:

@@ -42,6 +42,36 @@ def test_lineage_ways(spark):
     assert reading.lineages(*empty).count() == 0
 
 
+def test_lineages_pair_each_entry_and_process_once(spark):
+    """Entries that come twice, with the same content, with another or without an id, and ways that overlap."""
+    rows = [(k % 40 or None, f"p{k % 5}" if k % 3 else None, f"p{k % 4}:x" if k % 7 else None, f"k{k % 6}", f"h{k % 9}" if k % 8 else None) for k in range(120)]
+    entries = spark.createDataFrame(rows, "entry_id long, process_id string, job_id string, signal_key string, content_hash string")
+    cross = spark.createDataFrame([(f"k{k}", "n", k) for k in range(5)], "signal_key string, egress_net string, egress_seq long")
+    tokens = spark.createDataFrame([("n", k, f"t{k % 3}") for k in range(4)] * 2, "net string, seq long, token string")
+    tags = spark.createDataFrame([("t0", "p0"), ("t1", "p1"), ("t1", "p9"), ("t2", None)], "token string, process string")
+    producers = spark.createDataFrame([(f"h{k % 8}" if k else None, f"p{k % 6}" if k % 2 else None, f"m{k % 3}") for k in range(30)], "content_hash string, process_id string, source_net string")
+    processes = spark.createDataFrame([("p1", "m0"), ("p7", "m1"), (None, "m2")], "process_id string, net_id string")
+    makers = {(h, p) for h, p, _ in producers.collect()} | {(h, p) for h, _, m in producers.collect() for p, n in processes.collect() if m == n}
+    signals = {(s, p) for s, _, q in cross.collect() for _, at, t in tokens.collect() for u, p in tags.collect() if q == at and t == u}
+    want = set()
+    for e, own, job, signal, content in rows:
+        found = {own, job and job.split(":")[0]} | {p for s, p in signals if s == signal} | {p for h, p in makers if h == content and h}
+        want |= {(p, e) for p in found if p}
+    got = [tuple(r) for r in reading.lineages(entries, cross, tokens, tags, producers, processes).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lineages_by_content_go_through_no_aggregation(spark):
+    """Two hundred processes made what two hundred entries hold: the 40,000 pairs are not dealt out again."""
+    entries = spark.range(200).selectExpr("id as entry_id", "cast(null as string) as process_id", "cast(null as string) as job_id", "cast(null as string) as signal_key", "'h' as content_hash")
+    none = spark.createDataFrame([], "signal_key string, egress_net string, egress_seq long, net string, seq long, token string, process string, process_id string, net_id string")
+    producers = spark.range(200).selectExpr("'h' as content_hash", "concat('p', id) as process_id", "cast(null as string) as source_net")
+    found = reading.lineages(entries, none, none, none, producers, none)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.getClass().getSimpleName() == "Union" and not plan.children().head().getClass().getSimpleName().startswith("Aggregate")
+    assert found.count() == 40000 == found.distinct().count()
+
+
 def test_classified(spark):
     observed = spark.createDataFrame([("s", "a", 1, None, 0), ("s", "a", 2, " ", 1), ("s", "b", 3, "x", 0), ("s", "c", 4, None, 0)], "server string, path string, size long, hash string, ord int")
     legacy = spark.createDataFrame([("s", "a", 1, 2, "la"), ("s", "b", 2, None, "lb"), ("s", "b", 3, 3, "late")], "server string, path string, legacy_key long, legacy_size long, legacy_hash string")
