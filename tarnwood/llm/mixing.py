@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwood.llm.shared import few_rows
+
 WORD = r"[^\x20\x09-\x0D]+"
 _CELL_ROWS = 100_000
 
@@ -76,8 +78,8 @@ def mix_sources(
     kind = T.StructType(
         [T.StructField("_s", T.IntegerType()), T.StructField("_source", docs.schema[source_col].dataType), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_each", T.DoubleType()), T.StructField("_offset", T.DoubleType()), T.StructField("_buckets", T.LongType())]
     )
-    plan = spark.createDataFrame(
-        [(k, r[0], int(r["size"] or 0), float(target[r[0]]), min(most, target[r[0]] / r["size"]) if r["size"] else 0.0, offset(r[0]), max(8, r["n"] // _CELL_ROWS)) for k, r in enumerate(rows)], kind
+    plan = few_rows(
+        spark, [(k, r[0], int(r["size"] or 0), float(target[r[0]]), float(min(most, target[r[0]] / r["size"])) if r["size"] else 0.0, offset(r[0]), max(8, r["n"] // _CELL_ROWS)) for k, r in enumerate(rows)], kind
     )
     # One row per source, counted above.
     small = F.broadcast(plan) if len(rows) <= 100_000 else plan

@@ -31,9 +31,10 @@ PIECES = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [T.StructField("recut", T.BooleanType())]
 )
 _OPEN = T.StructType([*PIECES.fields, T.StructField("round", T.LongType()), T.StructField("ids", T.BinaryType())])
-_MOST_CACHED = 1_000_000
+_MOST_CACHED = 500_000
 _TASKS = 8
 _NARROW = "<u2"
+_AT_ONCE = 8
 
 
 class Piece(NamedTuple):
@@ -169,8 +170,11 @@ class WordEncoder:
         self.ids = np.zeros(0, dtype=np.uint32)
 
     def _ids(self, texts: list[str]) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return np.concatenate([np.array(e.ids, dtype=np.uint32) for e in found])
+        """Ids of the texts one after another; of few texts at a time, as the tokenizer keeps much more than ids."""
+        found = []
+        for at in range(0, len(texts), _AT_ONCE):
+            found += [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + _AT_ONCE], add_special_tokens=False)]
+        return np.concatenate(found)
 
     def _learn(self, pieces: Words, keys: np.ndarray, where: np.ndarray) -> None:
         """Encode the pieces at ``where``, many in one text with a mark between them."""

@@ -14,6 +14,9 @@ import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tarnwood.llm.shared import few_rows
 
 #: Its name makes Spark redact the value wherever it shows settings.
 KEY_SETTING = "spark.tarnwood.pii.secret"
@@ -166,7 +169,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     spark, text = docs.sparkSession, F.col(text_col)
     worth = text.rlike("[0-9@]")
     found = F.when(worth, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    secret = F.broadcast(spark.createDataFrame([(key,)], "_pii_key string"))  # one row
+    secret = F.broadcast(few_rows(spark, [(key,)], T.StructType([T.StructField("_pii_key", T.StringType())])))  # one row
     out = docs.drop("n_replaced").withColumn("_pii_found", found).join(secret, F.lit(True))
     some = F.size("_pii_found") > 0
     out = out.withColumn("_pii_new", F.when(some, F.expr(f"transform(_pii_found, m -> {pseudonym_sql('m')})")))

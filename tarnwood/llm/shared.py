@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL: dict[str, str] = {}
 
@@ -37,6 +39,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], kind: T.StructType) -> DataFrame:
+    """``rows`` of the driver as a DataFrame, handed over by Arrow: executors start no Python workers for them."""
+    columns = zip(*rows) if rows else [()] * len(kind.fields)
+    table = pa.table([pa.array(c) if any(v is not None for v in c) else pa.nulls(len(c)) for c in map(list, columns)], names=kind.names)
+    return spark.createDataFrame(table, kind)
+
+
 def in_small_batches(docs: DataFrame, rows: int = 1000) -> DataFrame:
     """``docs``, after telling its session to hand at most ``rows`` rows at once to Python.
 

@@ -1,4 +1,4 @@
-"""Word boundaries and word hashes over Arrow string columns, a few megabytes at a time.
+"""Word boundaries and word hashes over Arrow string columns, about a megabyte at a time.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. UTF-8 never uses those bytes inside a
 longer character, so the search works on bytes.
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -8,13 +8,18 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from tarnwood.llm import jaccard, mixing, packing, pii, pitman_yor, quality
 from tarnwood.llm.components import connected_components
+from tarnwood.llm.entries import tokenizer_path
+from tarnwood.llm.shared import few_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -177,6 +182,33 @@ def test_packing_of_added_tokens(spark):
             assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[p.start : p.start + p.length]))
 
 
+def test_encoder_hands_over_few_texts_at_a_time(monkeypatch):
+    """The tokenizer keeps much more than ids of each text it has at once."""
+    encoder, sizes = packing.WordEncoder(tokenizer_path()), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **how):
+            sizes.append(len(texts))
+            return whole.encode_batch_fast(texts, **how)
+
+    texts = [f"word{k} other{k * k}" for k in range(6000)]
+    whole = encoder.tokenizer
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    flat, first = encoder.encode(data, np.cumsum([0, *map(len, texts)]))
+    assert max(sizes) <= 8 and [flat[a:b].tolist() for a, b in zip(first, first[1:])] == want
+
+
+def test_few_rows_need_no_python_workers(spark):
+    kind = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType()), T.StructField("x", T.DoubleType())])
+    for rows in ([(1, "a", 0.5), (None, None, None)], [(2, None, 1.0)], []):
+        got = few_rows(spark, rows, kind)
+        assert [tuple(r) for r in got.collect()] == rows and got.schema == kind
+    plans = [mixing.mix_sources(spark.createDataFrame(pa.table({"doc_id": [1], "source": ["a"], "size": [3]}))), pii.pseudonymise(spark.createDataFrame(pa.table({"text": ["a@b.org"]})), "key")]
+    assert not any("ExistingRDD" in d._jdf.queryExecution().executedPlan().toString() for d in plans)
+
+
 def test_level_packer_places_by_sum_of_squares():
     """Every placement against all levels, over many pieces and small windows."""
     import numpy as np
